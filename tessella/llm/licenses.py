@@ -119,13 +119,12 @@ def scan(
     scores = F.filter(F.transform(grams, best), lambda x: x["d"] >= threshold)
     names = F.array(*[F.lit(name) for name, _ in rows])
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ("license", "dice", "n_matches")]
-    # a literal one-element array binds the scores once for the three results
     out = docs.select(*kept, scores.alias("lic_scores"))
-    top = F.array_max("lic_scores")
+    top, some = F.array_max("lic_scores"), F.size("lic_scores") > 0
     return out.select(
         *kept,
-        F.element_at(names, 1 - top["o"]).alias("license"),
-        F.coalesce(top["d"], F.lit(0.0)).alias("dice"),
+        F.when(some, F.element_at(names, 1 - top["o"])).alias("license"),
+        F.when(some, top["d"]).otherwise(0.0).alias("dice"),
         F.size("lic_scores").cast("long").alias("n_matches"),
     )
 
