@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once a session: they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    made = Path(tempfile.mkdtemp(prefix="tessella-ship-")) / f"{root.name}_code.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(made))  # Spark serves it from the driver to every executor
+    _shipped.add(sc.applicationId)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import kdshard, licenses, mixing
+from . import kdshard, licenses, mixing, packing, warc
 
 QUERIES = {
     "op2_kd_sharding": kdshard.op2_kd_sharding,
+    "op5_warc": warc.op5_warc,
     "op7_mixing": mixing.op7_mixing,
     "op8_license_scan": licenses.op8_license_scan,
+    "op9_packing": packing.op9_packing,
 }
 ORACLES = {"op7_mixing": mixing.ORACLE_SQL, "op8_license_scan": licenses.ORACLE_SQL}
