@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, kdshard, licenses, mixing, packing, warc
+from . import fertility, fingerprint, kdshard, licenses, mixing, packing, warc
 
 QUERIES = {
     "op2_kd_sharding": kdshard.op2_kd_sharding,
     "op4_improbable_features": fingerprint.op4_improbable_features,
     "op5_warc": warc.op5_warc,
+    "op6_fertility": fertility.op6_fertility,
     "op7_mixing": mixing.op7_mixing,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_packing": packing.op9_packing,
