@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -72,7 +73,7 @@ def record_batches(parts: Iterator[dict], schema: pa.Schema) -> Iterator[pa.Reco
 
 def bounded(column: pa.Array, limit: int = 8 << 20) -> Iterator[slice]:
     """Slices of a batch whose texts have about `limit` bytes; one very long text is a slice of its own."""
-    sizes = [0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()]
+    sizes = [0 if x is None else x for x in pc.binary_length(column).to_pylist()]
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fertility, fingerprint, kdshard, licenses, mixing, packing, warc
+from . import fertility, fingerprint, kdshard, licenses, mixing, packing, simhash, warc
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_kd_sharding": kdshard.op2_kd_sharding,
     "op4_improbable_features": fingerprint.op4_improbable_features,
     "op5_warc": warc.op5_warc,
