@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fertility, fingerprint, kdshard, licenses, mixing, packing, simhash, warc
+from . import fertility, fingerprint, kdshard, licenses, mixing, packing, simhash, suffixdedup, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_packing": packing.op9_packing,
+    "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
 }
 ORACLES = {"op7_mixing": mixing.ORACLE_SQL, "op8_license_scan": licenses.ORACLE_SQL}
