@@ -1,10 +1,66 @@
-"""Corpus pipeline."""
+"""A training corpus from raw documents: five stages, each over all that the one before it kept.
 
-STAGES = []
+Every stage is `(name, function)`; a function takes `(spark, docs, sf_dir)` and returns a DataFrame, which is written as Parquet
+and read again as the next stage's `docs`. All but the last return the columns of `documents`.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessella.llm import mixing, packing, simhash, suffixdedup, toxicity
+from tessella.llm.common import shared_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose worst window reaches the threshold go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more."""
+    groups = simhash.near_groups(docs, shingle=5, bits=256, similarity=0.8)
+    return simhash.keep_one(docs, groups).select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes or more that the corpus repeats are cut out; every document stays."""
+    return suffixdedup.clean_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are repeated to weights of the square root of their sizes, in shuffled order."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of tokenised documents in sequences of 1,024."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to `documents`; what each returns is written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_dir(spark)}/tessella/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
+
+
+#: The scores, the groups and the token ids are not SQL's to compute; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fertility, fingerprint, kdshard, licenses, mixing, packing, simhash, suffixdedup, warc
+from . import fertility, fingerprint, kdshard, licenses, mixing, packing, simhash, suffixdedup, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_kd_sharding": kdshard.op2_kd_sharding,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_improbable_features": fingerprint.op4_improbable_features,
     "op5_warc": warc.op5_warc,
     "op6_fertility": fertility.op6_fertility,

@@ -73,17 +73,22 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> bytes:
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 64, seed: int = 42) -> DataFrame:
-    """`(doc_id, fp)` for every row."""
+    """`(doc_id, mark, fp)` for every row; the mark is a hash of the text."""
     ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded(batch.column(1)):
-                found = [fingerprint(shingle_hashes(d, shingle, seed), bits) for d in texts(batch.column(1)[part])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(found, pa.binary())], names=["doc_id", "fp"])
+            for part in bounded(batch.column(2)):
+                found = [fingerprint(shingle_hashes(d, shingle, seed), bits) for d in texts(batch.column(2)[part])]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], pa.array(found, pa.binary())], names=["doc_id", "mark", "fp"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp binary")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_mark(text).alias("mark"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, mark long, fp binary")
+
+
+def text_mark(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 class Planes:
@@ -294,7 +299,7 @@ def near_groups(
     recall: float = 0.97,
     cell: int = CELL,
 ) -> DataFrame:
-    """`(doc_id, fp, component_id)`: each row's fingerprint and the smallest id that links reach from it.
+    """`(doc_id, mark, fp, root, component_id)`: each row's text mark and fingerprint, its group, and the smallest id in it.
 
     With `radius` alone the result is exact. With `similarity` (a Jaccard similarity of shingle sets) the radius is the
     number of bits at which texts so similar differ, plus one standard deviation, and buckets are sampled for `recall`;
@@ -312,9 +317,18 @@ def near_groups(
     roots = components(links(firsts, masks, radius, cell))
     linked = firsts.join(roots.withColumnsRenamed({"node": "fp"}), "fp")
     reach = linked.groupBy("root").agg(F.min("first_id").alias("reach_id"))
-    answers = linked.join(reach, "root").select("fp", "reach_id")
-    every = firsts.join(answers, "fp", "left").select("fp", F.coalesce("reach_id", "first_id").alias("component_id"))
-    return fps.join(every, "fp").select("doc_id", "fp", "component_id")
+    answers = linked.join(reach, "root").select("fp", "root", "reach_id")
+    every = firsts.join(answers, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("reach_id")).alias("component_id"))
+    return fps.join(every, "fp").select("doc_id", "mark", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of each group with the smallest id (nulls last), then the smallest mark of its text; of equal rows one."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("k")
+    kept = groups.groupBy("root").agg(first).select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"))
+    marked = docs.withColumn("own_mark", text_mark(text))
+    rows = marked.join(kept, marked[doc_id].eqNullSafe(kept["kept_id"]) & (F.col("own_mark") == F.col("kept_mark")), "left_semi")
+    return rows.dropDuplicates([doc_id, "own_mark"]).drop("own_mark")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
