@@ -1,0 +1 @@
+"""Relation plans, and statements that are pinned before they run."""

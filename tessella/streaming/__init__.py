@@ -1,0 +1 @@
+"""Row callbacks with hooks, and declared aggregations over streams of files."""
