@@ -319,7 +319,8 @@ def near_groups(
     reach = linked.groupBy("root").agg(F.min("first_id").alias("reach_id"))
     answers = linked.join(reach, "root").select("fp", "root", "reach_id")
     every = firsts.join(answers, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("reach_id")).alias("component_id"))
-    return fps.join(every, "fp").select("doc_id", "mark", "fp", "root", "component_id")
+    # both sides are tables, so Spark may split a fingerprint that many copies share
+    return fps.join(materialise(every, "simhash-groups"), "fp").select("doc_id", "mark", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
