@@ -8,18 +8,21 @@ same bucket, until none are left. Names form large alphabets, whose buckets are
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 #: Alphabets of up to so many letters are induced bucket by bucket.
 BY_BUCKET = 1024
+CHUNK = 1 << 16
 
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True for S. The last suffix, of the sentinel, is S."""
     n = len(s)
-    step = np.sign(s[1:].astype(np.int64) - s[:-1])
+    step = np.sign(s[1:].astype(np.int32) - s[:-1]).astype(np.int8)
     # an equal neighbour passes on its own type: look for the next change
-    at = np.where(step != 0, np.arange(n - 1), n - 1)
+    at = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n - 1))
     nearest = np.minimum.accumulate(at[::-1])[::-1]
     out = np.ones(n, np.bool_)
     known = nearest < n - 1
@@ -61,7 +64,7 @@ def _append(sa, heads, letters, values, up: bool) -> None:
 
 def _induce_buckets(s: np.ndarray, small: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
     n, letters = len(s), np.flatnonzero(ends > starts)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     _place(sa, s, order, ends)
     placed = np.bincount(s[order], minlength=len(ends))
 
@@ -101,7 +104,7 @@ def _induce_buckets(s: np.ndarray, small: np.ndarray, starts: np.ndarray, ends:
 
 def _induce_entries(s: np.ndarray, small: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
     n = len(s)
-    first = np.full(n, -1, np.int64)
+    first = np.full(n, -1, np.int32)
     _place(first, s, order, ends)
     sa, text, is_s = first.tolist(), s.tolist(), small.tolist()
     heads = starts.tolist()
@@ -119,16 +122,16 @@ def _induce_entries(s: np.ndarray, small: np.ndarray, starts: np.ndarray, ends:
             tails[c] -= 1
             sa[tails[c]] = j
     sa[0] = n - 1
-    return np.array(sa, np.int64)
+    return np.array(sa, np.int32)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Of integers whose last is a 0 that occurs nowhere else."""
     n = len(s)
     if n < 3:
-        return np.arange(n)[::-1].copy()
+        return np.arange(n, dtype=np.int32)[::-1].copy()
     small = _types(s)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     counts = np.bincount(s)
     ends = np.cumsum(counts)
     starts = ends - counts
@@ -140,15 +143,20 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     # names: equal leftmost-S substrings, both ends included, have equal names
     width = np.dtype("<u4") if len(counts) > 65_535 else np.dtype("<u2")
     raw = s.astype(width).tobytes()
-    following = np.full(n, n - 1, np.int64)
+    following = np.full(n, n - 1, np.int32)
     following[lms[:-1]] = lms[1:]
     w = width.itemsize
-    a, b = (found * w).tolist(), ((following[found] + 1) * w).tolist()
-    pieces = [raw[x:y] for x, y in zip(a, b)]
-    fresh = np.fromiter((p != q for p, q in zip(pieces[1:], pieces)), np.bool_, len(pieces) - 1)
-    rank = np.concatenate([[0], np.cumsum(fresh)])
-    del pieces
-    name = np.empty(n, np.int64)
+    fresh, last = np.zeros(len(found), np.bool_), b""
+    for lo in range(0, len(found), CHUNK):  # in chunks, as slices are large objects
+        some = found[lo : lo + CHUNK]
+        for k, (x, y) in enumerate(zip((some.astype(np.int64) * w).tolist(), ((following[some].astype(np.int64) + 1) * w).tolist()), lo):
+            piece = raw[x:y]
+            if piece != last:
+                fresh[k] = True
+                last = piece
+    rank = np.cumsum(fresh) - 1
+    del raw, following
+    name = np.empty(n, np.int32)
     name[found] = rank
     if rank[-1] + 1 == len(lms):
         return induce(s, small, starts, ends, found)
@@ -157,25 +165,25 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 
 def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """For each suffix in text order, the letters it shares with the suffix before it in the array."""
+    """For each suffix in text order, the letters it shares with the suffix before it in the array. Letters are below 65,536."""
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    raw = s.astype("<u2").tobytes() if s.max() < 65_536 else None
-    text, phi, out, h = s.tolist(), before.tolist(), [0] * n, 0
-    for i in range(n):
-        j = phi[i]
-        if j < 0:
-            h = 0
-            continue
-        if text[i + h] == text[j + h]:
-            # strides while whole chunks are equal, then letter by letter
-            if raw is not None:
-                while raw[2 * (i + h) : 2 * (i + h + 64)] == raw[2 * (j + h) : 2 * (j + h + 64)] and max(i, j) + h + 64 < n:
+    raw = s.astype("<u2").tobytes()
+    text, out, h = memoryview(raw).cast("H"), array("i", bytes(4 * n)), 0
+    for lo in range(0, n, CHUNK):
+        for i, j in enumerate(before[lo : lo + CHUNK].tolist(), lo):
+            if j < 0:
+                h = 0
+                continue
+            if text[i + h] == text[j + h]:
+                # strides while whole chunks are equal, then letter by letter
+                far = n - 64 - max(i, j)
+                while h < far and raw[2 * (i + h) : 2 * (i + h + 64)] == raw[2 * (j + h) : 2 * (j + h + 64)]:
                     h += 64
-            while text[i + h] == text[j + h]:
-                h += 1
-        out[i] = h
-        if h:
-            h -= 1
-    return np.array(out, np.int64)
+                while text[i + h] == text[j + h]:
+                    h += 1
+            out[i] = h
+            if h:
+                h -= 1
+    return np.frombuffer(out, np.int32)

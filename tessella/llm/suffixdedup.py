@@ -7,10 +7,12 @@ Every byte that lies in a `length`-byte string which starts at two places or mor
    is all the bytes that such strings can reach from it. Only anchors that occur twice or more go on.
 2. Occurrences of an anchor with equal snippets are repeated as a whole. What is left are anchors with several distinct
    snippets; one of each is kept, whatever the number of copies.
-3. Shards. Anchors are dealt to shards by hash; a shard joins its snippets (overlapping ones of a document once), builds their
+3. Shards. Each anchor goes with the first place that has it, in blocks of `BLOCK` bytes, so that a text's neighbouring anchors
+   stay together and overlapping snippets are joined; blocks are dealt to shards by hash. A shard joins its pieces, builds their
    suffix array by induced sorting and the permuted longest common prefixes, and marks each suffix that shares `length` bytes with
-   a neighbour from another place. An anchor with more than `hot` distinct snippets would outgrow a shard; its windows are
-   compared by digest instead, dealt by window, so that one passage in every document spreads over all tasks.
+   a neighbour from another place. An anchor with more than `hot` distinct snippets is first parted into cells of
+   neighbouring windows: windows of a cell share a core, so only snippets with equal cores meet, and equal spans settle a cell at
+   once. What is left of a cell goes to a shard, or, above `hot_cell`, is parted again, down to single windows if need be.
 4. The marked places of each document are joined with the text once more, merged and cut out.
 
 Texts are shuffled by document; nothing is collected, and each table the steps share is written to the shared folder.
@@ -28,15 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, materialise, ship, texts
 from .suffixarray import permuted_lcp, suffix_array
 
 GRAM = 96
-HOT = 1500
-SHARD_BYTES = 1_500_000
+HOT = 400
+HOT_CELL = 1500
+BLOCK = 2048
+BLOCK_PIECES = 3000
+CELLS = 4
+SHARD_BYTES = 600_000
 _PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -134,29 +140,97 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def _snippet_rows(length: int, gram: int):
+PIECE_SCHEMA = "g long, h long, doc long, t long, a long, pos long, piece binary"
+
+
+def _piece_rows(length: int, gram: int):
+    """Of each text, what its anchors reach: joined by group `g`, or one piece an anchor where there is no group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             for part in bounded(batch.column(2), 2 << 20):
                 out: list[tuple] = []
                 for i, data in zip(range(part.start, part.stop), texts(batch.column(2)[part])):
+                    groups: dict[int, list[tuple[int, int]]] = {}
                     for x in found[i].as_py():
                         a, b = reach(x["pos"], len(data), length, gram)
-                        out.append((x["h"], ids[i], marks[i], a, x["pos"], data[a:b]))
-                        if len(out) >= 4096:
-                            yield _rows(out)
-                            out = []
+                        if x["g"] is None:
+                            out.append((None, x["h"], ids[i], marks[i], a, x["pos"], data[a:b]))
+                        else:
+                            groups.setdefault(x["g"], []).append((a, b))
+                    out += [(g, None, ids[i], marks[i], a, None, data[a:b]) for g, spans in groups.items() for a, b in merged(spans)]
+                    if len(out) >= 2048:
+                        yield _rows(out)
+                        out = []
                 if out:
                     yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 5 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["h", "doc", "t", "a", "pos", "snippet"])
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["g", "h", "doc", "t", "a", "pos", "piece"])
+
+    return run
+
+
+def cells(pos: int, a: int, end: int, length: int, low: int, high: int, count: int = CELLS) -> list[tuple[int, int, int, int, int, int]]:
+    """The windows of a piece [a, end) that start `low` to `high` bytes before the anchor, in up to `count` cells.
+
+    For each cell with a window: its first and last such distance, the core that all its windows hold, and the span of those that
+    the piece has.
+    """
+    n = high - low + 1
+    edges = sorted({low + round(i * n / count) for i in range(count + 1)})
+    out = []
+    for r0, r1 in zip(edges, (e - 1 for e in edges[1:])):
+        if max(r0, pos + length - end) <= min(r1, pos - a):
+            out.append((r0, r1, pos - r0, pos + length - r1, max(a, pos - r1), min(end, pos + length - r0)))
+    return out
+
+
+CELL_SCHEMA = "h long, r0 int, r1 int, core binary, span binary, doc long, t long, pos long, s long, e long"
+
+
+def _cell_rows(length: int):
+    from xxhash import xxh3_128_digest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, low, high, doc, t, pos, a, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                for r0, r1, x, y, s, e in cells(pos, a, a + len(piece), length, low, high):
+                    out.append((h, r0, r1, xxh3_128_digest(piece[x - a : y - a]), xxh3_128_digest(piece[s - a : e - a], pos - s), doc, t, pos, s, e))
+            if out:
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["h", "r0", "r1", "core", "span", "doc", "t", "pos", "s", "e"])
 
     return run
 
 
+def _same(a: str, b: str) -> Column:
+    return F.coalesce(F.col(a), F.lit(-1)) == F.coalesce(F.col(b), F.lit(-1))
+
+
+def _parted(pieces: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round of parting hot groups into cells: `(whole spans, pieces for shards, pieces of cells that are still hot)`.
+
+    `pieces`: `(h, low, high, doc, t, pos, a, piece)`; the last two have the same columns, with the cell as `h`.
+    """
+    by_cell = materialise(pieces.mapInArrow(_cell_rows(length), CELL_SCHEMA), "cells")
+    key = ["h", "r0", "r1", "core"]
+    one = F.min(F.struct("doc", "t", "pos", "s", "e")).alias("one")
+    kinds = materialise(by_cell.groupBy(*key, "span").agg(F.count(F.lit(1)).alias("n"), one), "cell-kinds")
+    whole = by_cell.join(kinds.where("n > 1").select(*key, "span"), [*key, "span"], "left_semi").select("doc", "t", F.col("s").alias("a"), F.col("e").alias("b"))
+    mixed = kinds.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").drop("least")
+    picks = kinds.join(materialise(mixed, "cell-mixed"), key).select(*key, "m", "one.*")
+    at = pieces.withColumnsRenamed({"doc": "doc2", "t": "t2", "pos": "pos2", "h": "h2"})
+    cut_out = F.substring("piece", (F.col("s") - F.col("a") + 1).cast("int"), (F.col("e") - F.col("s")).cast("int"))
+    held = picks.join(at, _same("doc", "doc2") & (F.col("t") == F.col("t2")) & (F.col("pos") == F.col("pos2")) & (F.col("h") == F.col("h2")))
+    held = held.select(F.xxhash64(*key).alias("h"), F.col("r0").alias("low"), F.col("r1").alias("high"), "m", "doc", "t", "pos", F.col("s").alias("a"), cut_out.alias("piece"))
+    held = materialise(held, "cell-pieces")
+    return whole, held.where(F.col("m") <= hot).drop("m"), held.where(F.col("m") > hot).drop("m")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -171,14 +245,15 @@ def repeated_in(segments: list[tuple[tuple, int, bytes]], length: int) -> list[t
     """`segments`: (document, place, bytes). The spans of their strings of `length` bytes that start at two places or more."""
     parts, owner, place = [], [], []
     for i, (_, a, data) in enumerate(segments):
-        parts.append(np.frombuffer(data, np.uint8).astype(np.int64) + 2)
-        parts.append(np.ones(1, np.int64))  # no string goes past a segment's end
-        owner.append(np.full(len(data) + 1, i))
+        parts.append(np.frombuffer(data, np.uint8).astype(np.uint16) + np.uint16(2))
+        parts.append(np.ones(1, np.uint16))  # no string goes past a segment's end
+        owner.append(np.full(len(data) + 1, i, np.int32))
         left = np.arange(a, a + len(data) + 1)
         left[max(0, len(data) - length + 1) :] = -1  # too near the end
         place.append(left)
-    s = np.concatenate([*parts, np.zeros(1, np.int64)])
-    owner_, place_ = np.concatenate([*owner, [0]]), np.concatenate([*place, [-1]])
+    s = np.concatenate([*parts, np.zeros(1, np.uint16)])
+    owner_, place_ = np.concatenate([*owner, np.zeros(1, np.int32)]), np.concatenate([*place, [-1]])
+    del parts, owner, place
     documents = {d: i for i, d in enumerate(dict.fromkeys(d for d, _, _ in segments))}
     number = np.array([documents[d] for d, _, _ in segments])
     sa = suffix_array(s)
@@ -204,7 +279,7 @@ def _shard(length: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         segments: list[tuple[tuple, int, bytes]] = []
         rows = rows.sort_values(["doc", "t", "a"], kind="stable", na_position="last")
-        for doc, t, a, data in zip(rows["doc"].astype(object), rows["t"], rows["a"], rows["snippet"]):
+        for doc, t, a, data in zip(rows["doc"].astype(object), rows["t"], rows["a"], rows["piece"]):
             key = (None if pd.isna(doc) else int(doc), int(t))
             a = int(a)
             if segments and segments[-1][0] == key and a <= segments[-1][1] + len(segments[-1][2]):
@@ -220,55 +295,49 @@ def _shard(length: int):
     return run
 
 
-def _window_rows(length: int, gram: int):
-    """The windows of a hot anchor's snippets: place relative to the anchor, and digest."""
-    from xxhash import xxh3_128_digest
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for h, doc, t, a, pos, snippet in zip(*columns):
-                at = range(0, len(snippet) - length + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([h] * len(at), pa.int64()), pa.array([a + r - pos for r in at], pa.int32()), pa.array([xxh3_128_digest(snippet[r : r + length]) for r in at], pa.binary()), pa.array([doc] * len(at), pa.int64()), pa.array([t] * len(at), pa.int64()), pa.array([a + r for r in at], pa.int64())],
-                    names=["h", "r", "w", "doc", "t", "a"],
-                )
-
-    return run
-
-
 def _text_mark(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def repeated_spans(docs: DataFrame, *, doc_id: str, text: str, length: int, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, *, doc_id: str, text: str, length: int, gram: int = GRAM, hot: int = HOT, hot_cell: int = HOT_CELL, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """`(rows, spans)`: rows `(doc, t, body)` and, for documents that have any, `(doc, t, spans)` with unmerged spans (a, b)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), _text_mark(F.col(text)).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     found = rows.mapInArrow(_anchor_rows(length, gram), "h long, sh long, doc long, t long, pos long")
     every = materialise(found, "anchors")
-    often = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    often = materialise(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors-often")
     again = materialise(every.join(often, "h", "left_semi"), "anchors-again")
-    kinds = again.groupBy("h", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "t", "pos")).alias("one"))
-    kinds = materialise(kinds, "snippet-kinds")
+    one = F.min(F.struct("doc", "t", "pos")).alias("one")
+    kinds = materialise(again.groupBy("h", "sh").agg(F.count(F.lit(1)).alias("n"), one), "snippet-kinds")
     whole = again.join(kinds.where("n > 1").select("h", "sh"), ["h", "sh"], "left_semi")
     whole = whole.select("doc", "t", (F.col("pos") - (length - gram)).alias("a"), (F.col("pos") + length).alias("b"))
     # several snippets, one of them without an equal: only there can a suffix array add anything
-    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("h", "m")
-    picks = materialise(kinds.join(mixed, "h").select("h", "m", "one.doc", "one.t", "one.pos"), "picks")
-    total = picks.where(F.col("m") <= hot).count() * (2 * length - gram)
-    shards = max(1, -(-total // shard_bytes))
-    wanted = picks.groupBy("doc", "t").agg(F.collect_list(F.struct("h", "pos")).alias("found"))
+    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.min("one").alias("lead"))
+    mixed = mixed.where("m > 1 and least = 1").select("h", "m", F.xxhash64("lead.doc", "lead.t", F.floor(F.col("lead.pos") / BLOCK)).alias("g"))
+    # a block has at most BLOCK anchors, so this window is bounded; a block that would be too much goes anchor by anchor
+    load = F.sum(F.when(F.col("m") <= hot, F.col("m"))).over(Window.partitionBy("g"))
+    group = F.when(F.col("m") <= hot, F.when(load <= BLOCK_PIECES, F.col("g")).otherwise(F.xxhash64("h", "g")))
+    mixed = materialise(mixed.select("h", group.alias("g")), "mixed")
+    picks = kinds.join(mixed, "h").select("g", "h", "one.doc", "one.t", "one.pos")
+    wanted = picks.groupBy("doc", "t").agg(F.collect_list(F.struct("g", "h", "pos")).alias("found"))
     joined = rows.join(wanted.withColumnsRenamed({"doc": "doc2", "t": "t2"}), (F.coalesce("doc", F.lit(-1)) == F.coalesce("doc2", F.lit(-1))) & (F.col("t") == F.col("t2")))
-    snippets = joined.select("doc", "t", "body", "found").mapInArrow(_snippet_rows(length, gram), "h long, doc long, t long, a long, pos long, snippet binary")
-    sized = materialise(snippets, "snippets").join(mixed, "h")
-    dealt = sized.where(F.col("m") <= hot).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    marked = dealt.select("shard", "doc", "t", "a", "snippet").groupBy("shard").applyInPandas(_shard(length), "doc long, t long, a long, b long")
-    windows = sized.where(F.col("m") > hot).select("h", "doc", "t", "a", "pos", "snippet")
-    windows = windows.mapInArrow(_window_rows(length, gram), "h long, r int, w binary, doc long, t long, a long")
-    twice = windows.groupBy("h", "r", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "r", "w")
-    hot_marked = windows.join(twice, ["h", "r", "w"], "left_semi").select("doc", "t", "a", (F.col("a") + length).alias("b"))
-    spans = whole.unionByName(marked).unionByName(hot_marked)
+    pieces = materialise(joined.select("doc", "t", "body", "found").mapInArrow(_piece_rows(length, gram), PIECE_SCHEMA), "pieces")
+
+    dealt = pieces.where("g is not null").select("g", "doc", "t", "a", "piece")
+    still = pieces.where("g is null").select("h", F.lit(0).alias("low"), F.lit(length - gram).alias("high"), "doc", "t", "pos", "a", "piece")
+    while not still.isEmpty():  # each round quarters the cells; a cell of one window is settled by its digest
+        more, ready, still = _parted(still, length, hot_cell)
+        whole = whole.unionByName(more)
+        dealt = dealt.unionByName(ready.select(F.col("h").alias("g"), "doc", "t", "a", "piece"))
+    total = dealt.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    shards = max(1, -(-total // shard_bytes))
+    marked = (
+        dealt.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)))
+        .drop("g")
+        .groupBy("shard")
+        .applyInPandas(_shard(length), "doc long, t long, a long, b long")
+    )
+    spans = whole.unionByName(marked)
     return rows, spans.groupBy("doc", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
