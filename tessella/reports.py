@@ -878,6 +878,42 @@ def wr_cascade(c):
     return writes.cascade(c, "customer", gone)["orders"].agg(F.count(F.lit(1)).alias("n"))
 
 
+@report("SELECT c_custkey, c_nationkey + coalesce(n, 0) AS c_nationkey FROM customer LEFT JOIN (SELECT o_custkey, count(*)::INT AS n FROM orders WHERE o_totalprice > 350000 GROUP BY 1) ON o_custkey = c_custkey")
+def wr_tally(c):
+    o = Query(c, "orders")
+    touched = writes.update_all(o.where(o["o_totalprice"].gt(350000.0)), o_orderpriority="1-URGENT").affected
+    return writes.tally(Query(c, "customer"), "orders", "c_nationkey", touched).state.select("c_custkey", "c_nationkey")
+
+
+@report("SELECT s_suppkey FROM supplier UNION ALL SELECT 5000 + n_nationkey FROM nation")
+def wr_insert_all(c):
+    rows = c.base("nation").select((F.col("n_nationkey") + 5000).alias("s_suppkey"), F.col("n_name").alias("s_name"), F.col("n_nationkey").alias("s_nationkey"), F.lit(0.0).alias("s_acctbal"))
+    return writes.insert_all(c, "supplier", rows).state.select("s_suppkey")
+
+
+@report("SELECT c_custkey, c_name FROM customer UNION ALL SELECT -1, 'absent'")
+def wr_insert_if_absent(c):
+    new = c.base("customer").where("c_custkey < 5").withColumn("c_name", F.lit("kept"))
+    extra = new.where("c_custkey < 1").withColumn("c_custkey", F.col("c_custkey") - 1).withColumn("c_name", F.lit("absent"))
+    return writes.insert_if_absent(c, "customer", new.unionAll(extra), ("c_custkey",)).state.select("c_custkey", "c_name")
+
+
+@report("SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def wr_update_by_key(c):
+    return writes.update(c, "orders", {"o_orderkey": 7}, o_orderstatus="Z").state.select("o_orderkey", "o_orderstatus")
+
+
+@report("SELECT o_orderkey FROM orders WHERE o_orderkey <> 7")
+def wr_delete_by_key(c):
+    return writes.delete(c, "orders", {"o_orderkey": 7}).state.select("o_orderkey")
+
+
+@report("SELECT o_custkey, o_orderdate, o_orderkey FROM (SELECT o_custkey, o_orderdate, o_orderkey, lag(o_orderdate + INTERVAL 7 DAY) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) WHERE before > o_orderdate")
+def wr_overlaps(c):
+    rows = c.base("orders").select("o_custkey", "o_orderdate", (F.col("o_orderdate") + F.expr("INTERVAL '7' DAY")).alias("until"), "o_orderkey")
+    return writes.overlapping(rows, ("o_custkey",), "o_orderdate", "until").select("o_custkey", "o_orderdate", "o_orderkey")
+
+
 # raw SQL, views, functions, shards, windows of events
 @report("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 420000 AND o_orderstatus = 'O'")
 def raw_pinned(c):
