@@ -16,4 +16,9 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
 }
-ORACLES = {"op7_mixing": mixing.ORACLE_SQL, "op8_license_scan": licenses.ORACLE_SQL}
+ORACLES = {
+    "op5_warc": warc.ORACLE_SQL,
+    "op7_mixing": mixing.ORACLE_SQL,
+    "op8_license_scan": licenses.ORACLE_SQL,
+    "op10_suffix_dedup": suffixdedup.ORACLE_SQL,
+}

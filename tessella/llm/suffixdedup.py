@@ -406,3 +406,19 @@ def clean_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, p, md5(array_slice(b, p + 1, p + 400)::BLOB) AS h FROM d, unnest(range(0, octet_length(b) - 399)) x(p) WHERE octet_length(b) >= 400),
+hit AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+mark AS (SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p) > 400, true) AS fresh FROM hit),
+runs AS (SELECT r, min(p) AS a, max(p) + 400 AS z FROM (SELECT r, p, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p) AS g FROM mark) GROUP BY r, g),
+edges AS (
+  SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS s, a AS e FROM runs
+  UNION ALL SELECT d.r, coalesce(max(z), 0), any_value(octet_length(b)) FROM d LEFT JOIN runs USING (r) GROUP BY d.r),
+kept AS (SELECT r, string_agg(hex(array_slice(b, s + 1, e)::BLOB), '' ORDER BY s) AS k FROM edges JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, sum(z - a) AS gone, count(*) AS n FROM runs GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""

@@ -50,3 +50,10 @@ def test_every_copy_is_packed_once(spark, steps):
 def test_registry_has_one_query_for_each_operator():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_agrees_with_its_sql(spark, oracle, name):
+    from tests_rows import same
+
+    assert same(queries.QUERIES[name](spark, SF).toPandas(), oracle(queries.ORACLES[name], SF))
