@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -21,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="tessella-")
     spark.conf.set("spark.checkpoint.dir", path)
@@ -29,12 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers, once a session: they need not have it installed."""
+    """Hand this package to the Python workers, once a session: they need not have it installed.
+
+    Arrow batches of whole texts are held outside the heap on both sides, so the session's rows a batch are lowered, too.
+    """
     sc = spark.sparkContext
+    if int(spark.conf.get(ARROW_ROWS)) > BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent.parent
@@ -66,11 +75,6 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def record_batches(parts: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        yield pa.RecordBatch.from_arrays([pa.array(part[f.name], type=f.type) for f in schema], schema=schema)
-
-
 def bounded(column: pa.Array, limit: int = 8 << 20) -> Iterator[slice]:
     """Slices of a batch whose texts have about `limit` bytes; one very long text is a slice of its own."""
     sizes = [0 if x is None else x for x in pc.binary_length(column).to_pylist()]
@@ -84,5 +88,21 @@ def bounded(column: pa.Array, limit: int = 8 << 20) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def popcount(words: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(words)
+def release() -> None:
+    """Give freed memory back to the system: Python workers are kept for later tasks beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """A function of Arrow batches that releases memory when its task is over."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return over

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, ship, texts
+from .common import bounded, released, ship, texts
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -197,7 +197,7 @@ def quality(
                 kept = [batch.column(2 + i)[part] for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*keep, *[n for n, _ in SCHEMA]])
 
-    return rows.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], COLUMNS]))
+    return rows.mapInArrow(released(run), ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], COLUMNS]))
 
 
 def op6_fertility(spark, sf_dir: str) -> DataFrame:

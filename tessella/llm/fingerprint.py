@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, ship
+from .common import parallelism, released, ship
 
 FILTER_BITS = 2048
 FILTER_FEATURES = 160
@@ -277,12 +277,12 @@ def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     heads: dict = {}
     for b, after in zip(order, [*order[1:], *order[:1]]):
         heads[firsts[after]] = b
-    routed = rows.mapInArrow(_router(bounds, heads), "block long, tail int, doc_id long, text string")
+    routed = rows.mapInArrow(released(_router(bounds, heads)), "block long, tail int, doc_id long, text string")
     dealt = routed.repartition(parallelism(spark), "block").sortWithinPartitions(
         "block", "tail", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text"
     )
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(_paired(2 << 20), kinds)
+    return dealt.mapInArrow(released(_paired(2 << 20)), kinds)
 
 
 def _block_heads(rows: DataFrame, bounds: np.ndarray) -> dict[int, int | None]:
@@ -300,7 +300,7 @@ def _block_heads(rows: DataFrame, bounds: np.ndarray) -> dict[int, int | None]:
                     best[b] = v
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(best), pa.int64()), "head": pa.array(list(best.values()), pa.int64())})
 
-    found = rows.select("doc_id").mapInArrow(run, "block long, head long").groupBy("block").agg(F.max("head").alias("head")).collect()
+    found = rows.select("doc_id").mapInArrow(released(run), "block long, head long").groupBy("block").agg(F.max("head").alias("head")).collect()
     return {x["block"]: x["head"] for x in found}
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, ship, texts
+from .common import bounded, released, ship, texts
 
 END_ID = 0
 SPECIAL = "<|endoftext|>"
@@ -136,7 +136,7 @@ def pack(
     ship(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = rows.mapInArrow(_pieces(length, vocabulary), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = rows.mapInArrow(released(_pieces(length, vocabulary)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(_pack_group(length), PACKED)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded, materialise, ship, texts
+from .common import ASCII_LOWER, bounded, materialise, released, ship, texts
 from .components import components
 
 #: Largest bucket that one task compares at once.
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], pa.array(found, pa.binary())], names=["doc_id", "mark", "fp"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_mark(text).alias("mark"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, mark long, fp binary")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, mark long, fp binary")
 
 
 def text_mark(text: str):
@@ -273,7 +273,7 @@ def _linked(radius: int):
 
 def links(distinct: DataFrame, masks: list[list[int]], radius: int, cell: int = CELL) -> DataFrame:
     """Edges `(a, b)` that join all distinct fingerprints `fp` linked inside some bucket."""
-    keyed = distinct.select("fp").mapInArrow(_keys(masks), "t int, k long, fp binary")
+    keyed = distinct.select("fp").mapInArrow(released(_keys(masks)), "t int, k long, fp binary")
     sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = keyed.join(sizes, ["t", "k"])
     # a bucket of more than a cell is parted, and the rows of a part go to its meetings with every part
@@ -283,7 +283,7 @@ def links(distinct: DataFrame, masks: list[list[int]], radius: int, cell: int =
     pairs = F.when(F.col("n") <= cell, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(meets)
     cells = met.withColumn("parts", parts).withColumn("own", own).select("t", "k", "fp", F.explode(pairs).alias("c"))
     grouped = cells.groupBy("t", "k", "c").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    return grouped.select("members").mapInArrow(_linked(radius), "a binary, b binary").distinct()
+    return grouped.select("members").mapInArrow(released(_linked(radius)), "a binary, b binary").distinct()
 
 
 def near_groups(

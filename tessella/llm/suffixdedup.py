@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, ship, texts
+from .common import bounded, materialise, release, released, ship, texts
 from .suffixarray import permuted_lcp, suffix_array
 
 GRAM = 96
@@ -216,7 +216,7 @@ def _parted(pieces: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFr
 
     `pieces`: `(h, low, high, doc, t, pos, a, piece)`; the last two have the same columns, with the cell as `h`.
     """
-    by_cell = materialise(pieces.mapInArrow(_cell_rows(length), CELL_SCHEMA), "cells")
+    by_cell = materialise(pieces.mapInArrow(released(_cell_rows(length)), CELL_SCHEMA), "cells")
     key = ["h", "r0", "r1", "core"]
     one = F.min(F.struct("doc", "t", "pos", "s", "e")).alias("one")
     kinds = materialise(by_cell.groupBy(*key, "span").agg(F.count(F.lit(1)).alias("n"), one), "cell-kinds")
@@ -288,6 +288,8 @@ def _shard(length: int):
             else:
                 segments.append((key, a, data))
         spans = repeated_in(segments, length)
+        del segments, rows
+        release()
         return pd.DataFrame(
             {"doc": pd.array([k[0] for k, _, _ in spans], "Int64"), "t": np.array([k[1] for k, _, _ in spans], np.int64), "a": np.array([a for _, a, _ in spans], np.int64), "b": np.array([b for _, _, b in spans], np.int64)}
         )
@@ -303,7 +305,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str, text: str, length: int, gram
     """`(rows, spans)`: rows `(doc, t, body)` and, for documents that have any, `(doc, t, spans)` with unmerged spans (a, b)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), _text_mark(F.col(text)).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    found = rows.mapInArrow(_anchor_rows(length, gram), "h long, sh long, doc long, t long, pos long")
+    found = rows.mapInArrow(released(_anchor_rows(length, gram)), "h long, sh long, doc long, t long, pos long")
     every = materialise(found, "anchors")
     often = materialise(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors-often")
     again = materialise(every.join(often, "h", "left_semi"), "anchors-again")
@@ -321,7 +323,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str, text: str, length: int, gram
     picks = kinds.join(mixed, "h").select("g", "h", "one.doc", "one.t", "one.pos")
     wanted = picks.groupBy("doc", "t").agg(F.collect_list(F.struct("g", "h", "pos")).alias("found"))
     joined = rows.join(wanted.withColumnsRenamed({"doc": "doc2", "t": "t2"}), (F.coalesce("doc", F.lit(-1)) == F.coalesce("doc2", F.lit(-1))) & (F.col("t") == F.col("t2")))
-    pieces = materialise(joined.select("doc", "t", "body", "found").mapInArrow(_piece_rows(length, gram), PIECE_SCHEMA), "pieces")
+    pieces = materialise(joined.select("doc", "t", "body", "found").mapInArrow(released(_piece_rows(length, gram)), PIECE_SCHEMA), "pieces")
 
     dealt = pieces.where("g is not null").select("g", "doc", "t", "a", "piece")
     still = pieces.where("g is null").select("h", F.lit(0).alias("low"), F.lit(length - gram).alias("high"), "doc", "t", "pos", "a", "piece")
@@ -352,7 +354,7 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[in
 
 
 def _joined(rows: DataFrame, spans: DataFrame, doc: str, t: str) -> DataFrame:
-    named = spans.withColumnsRenamed({"doc": "sd_doc", "t": "sd_t"})
+    named = spans.withColumnsRenamed({"doc": "sd_doc", "t": "sd_t", "spans": "sd_spans"})
     return rows.join(named, (F.coalesce(F.col(doc), F.lit(-1)) == F.coalesce("sd_doc", F.lit(-1))) & (F.col(t) == F.col("sd_t")), "left").drop("sd_doc", "sd_t")
 
 
@@ -372,8 +374,8 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    joined = _joined(rows, spans, "doc", "t").select("doc", "body", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a: long, b: long>>")
+    joined = _joined(rows, spans, "doc", "t").select("doc", "body", "sd_spans")
+    return joined.mapInArrow(released(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a: long, b: long>>")
 
 
 def clean_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, **options) -> DataFrame:
@@ -400,7 +402,7 @@ def clean_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     key = F.col(doc_id).cast("long")
     joined = _joined(marked.withColumn("sd_id", key), spans, "sd_id", "sd_mark").drop("sd_id", "sd_mark")
-    return joined.select(*docs.columns, "spans").mapInArrow(run, kinds)
+    return joined.select(*docs.columns, "sd_spans").mapInArrow(released(run), kinds)
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

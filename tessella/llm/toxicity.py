@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded, ship, texts
+from .common import ASCII_LOWER, bounded, released, ship, texts
 
 THRESHOLD = 0.3
 WINDOW, STRIDE = 32, 24
 HIDDEN, ATTENTION = 8, 8
 BATCH = 128
+#: Share of a batch's distinct words that go without their word embedding while training.
+WORD_DROP = 0.5
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
 WORD_DIM, GRAM_DIM = 8, 8
 GRAMS = (3, 4, 5)
@@ -46,8 +48,8 @@ class FitLimits:
     """
 
     positives: int = 1500
-    negatives: int = 3000
-    text_bytes: int = 1 << 16
+    negatives: int = 2400
+    text_bytes: int = 1 << 15
     rounds: int = 4
     epochs: int = 2
     round_steps: int = 80
@@ -95,10 +97,10 @@ def windows(docs: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
             continue
         count = 1 + max(0, -(-(len(d) - WINDOW) // STRIDE))
         at = np.arange(count)[:, None] * STRIDE + np.arange(WINDOW)
-        out.append(np.where(at < len(d), np.append(d, pad)[np.minimum(at, len(d))], pad))
+        out.append(np.append(d, pad)[np.minimum(at, len(d))].astype(np.int32))
         owner.append(np.full(count, i))
     if not out:
-        return np.zeros((0, WINDOW), np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, WINDOW), np.int32), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(owner)
 
 
@@ -163,7 +165,8 @@ class Network:
         logits = pooled @ p["out"] + p["out_b"]
         return (logits, (mask, states, cache, att, alpha, pooled)) if keep else logits
 
-    def gradients(self, w: Words, x: np.ndarray, win: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    def gradients(self, w: Words, x: np.ndarray, win: np.ndarray, target: np.ndarray, weight: np.ndarray, kept: np.ndarray | None = None) -> tuple[float, dict]:
+        """Loss and gradients; words that are not `kept` had no embedding of their own in `x`."""
         p, h = self.p, HIDDEN
         logits, (mask, states, cache, att, alpha, pooled) = self.forward(x, win, True)
         prob = sigmoid(logits)
@@ -201,7 +204,8 @@ class Network:
         g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
         used = np.unique(win)
         used = used[used < len(w.words)]
-        np.add.at(g["word"], w.rows[used], d_x[used, :WORD_DIM])
+        whole = used if kept is None else used[kept[used]]
+        np.add.at(g["word"], w.rows[whole], d_x[whole, :WORD_DIM])
         picked = np.zeros(len(w.words), np.bool_)
         picked[used] = True
         some = picked[w.whose]
@@ -276,7 +280,7 @@ def train(data: list[bytes], labels: list[int], limits: FitLimits = FitLimits())
     net.p["word"][:, 0] = np.clip(words, -3, 6) / 3
     net.p["gram"][:, 0] = np.clip(grams, -3, 6) / 3
     win, owner = windows(w.docs, len(w.words))
-    of_word = np.append(words[w.rows] + (np.maximum.reduceat(grams[w.grams], w.first) if len(w.words) else 0), -9.0)
+    of_word = np.append((words[w.rows] + (np.maximum.reduceat(grams[w.grams], w.first) if len(w.words) else 0)).astype(np.float32), np.float32(-9))
     best = of_word[win].max(1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
@@ -296,8 +300,10 @@ def train(data: list[bytes], labels: list[int], limits: FitLimits = FitLimits())
                 used, small = np.unique(win[at], return_inverse=True)
                 part = _part(w, used[used < len(w.words)])
                 xs = net.inputs(part)
+                kept = rng.random(len(part.words)) >= WORD_DROP  # the rest has to be told by its characters
+                xs[:-1][~kept, :WORD_DIM] = 0
                 numbers = np.where(used < len(w.words), np.arange(len(used)), len(part.words))[small].reshape(win[at].shape)
-                _, g = net.gradients(part, xs, numbers, rows.astype(np.float32), (balance[rows] / len(at)).astype(np.float32))
+                _, g = net.gradients(part, xs, numbers, rows.astype(np.float32), (balance[rows] / len(at)).astype(np.float32), kept)
                 step += 1
                 _adam(net.p, g, moments, step, 0.004)
     model = Model(net)
@@ -341,16 +347,22 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     if not pos or not neg:
         return 1.0, 0.0
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+
+    def loss(a: float, b: float) -> float:
+        z = a * s + b
+        return float((np.logaddexp(0, z) - t * z).sum() + 5e-4 * (a - 1) ** 2)
+
     a, b = 1.0, 0.0
-    for _ in range(100):
+    for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(a * s + b, -500, 500)))
         r = q * (1 - q) + 1e-9
         grad = np.array([((q - t) * s).sum() + 1e-3 * (a - 1), (q - t).sum()])
         hess = np.array([[(r * s * s).sum() + 1e-3, (r * s).sum()], [(r * s).sum(), r.sum() + 1e-6]])
-        move = np.linalg.solve(hess, grad)
-        move *= min(1.0, 2.0 / max(1e-12, np.abs(move).max()))
-        a, b = a - move[0], b - move[1]
-        if np.abs(move).max() < 1e-6:
+        move, size, before = np.linalg.solve(hess, grad), 1.0, loss(a, b)
+        while size > 1e-6 and loss(a - size * move[0], b - size * move[1]) > before:
+            size /= 2
+        a, b = a - size * move[0], b - size * move[1]
+        if np.abs(size * move).max() < 1e-6:
             break
     return float(max(a, 1e-3)), float(b)
 
@@ -383,14 +395,14 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded(batch.column(at), 4 << 20):
+            for part in bounded(batch.column(at), 2 << 20):
                 s = model.scores(texts(batch.column(at)[part]))
                 yield pa.RecordBatch.from_arrays(
                     [*[c[part] for c in batch.columns], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"]
                 )
 
     kinds = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns], SCORED])
-    return docs.select(*columns).mapInArrow(run, kinds)
+    return docs.select(*columns).mapInArrow(released(run), kinds)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, ship, texts
+from .common import materialise, released, shared_dir, ship, texts
 
 # Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -293,7 +293,7 @@ def write_archives(
     joined = rows.join(F.broadcast(groups) if small else groups, "digest", "left")
     revisit = F.coalesce(F.col("first_id") != F.col("page_id"), F.col("first_id").isNotNull() & F.col("page_id").isNull())
     ready = joined.select("page_id", "url", "html", F.col("first_id").alias("refers_to"), revisit.alias("revisit"))
-    written = ready.mapInArrow(_writer(folder, archive_bytes, dictionary_bytes, sample_bytes, level), "path string, records long")
+    written = ready.mapInArrow(released(_writer(folder, archive_bytes, dictionary_bytes, sample_bytes, level)), "path string, records long")
     return materialise(written, "warc-manifest")
 
 
@@ -332,7 +332,7 @@ def read_archives(manifest: DataFrame, folder: str | None = None, *, with_payloa
     ship(spark)
     folder = folder or shared_dir(spark)
     spread = manifest.select("path", "records").repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
-    return spread.mapInArrow(_reader(folder, with_payload), READ)
+    return spread.mapInArrow(released(_reader(folder, with_payload)), READ)
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
