@@ -269,7 +269,8 @@ class Report:
         return [n for n, _ in a.groups] + [o.name for o in a.outputs] + [n for n, _ in a.computed]
 
     def _first_order(self, o: Output, rows: T.Scope) -> tuple:
-        return tuple((rows(None, t.name).column, t.descending, t.nulls_are_first) for t in o.order)
+        found = [(rows(None, t.name), t) for t in o.order]
+        return tuple((x.column, t.descending, t.nulls_are_first, x.type) for x, t in found)
 
     def problems(self) -> list[str]:
         a, out = self.spec, []

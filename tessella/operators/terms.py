@@ -360,34 +360,34 @@ def aggregate(kind: str, arg: Typed | None, keep: Column | None, first: tuple |
     raise DeclarationError(f"no aggregate {kind}")
 
 
+def _reversed(c: Column, t: Type) -> Column:
+    """A key that sorts ascending as the column does descending."""
+    if t.base in ("float4", "float8", "numeric"):
+        return -c
+    if t.base in ("int2", "int4", "int8"):
+        return -c.cast("decimal(20,0)")
+    if t.base in ("timestamp", "timestamptz"):
+        return -F.unix_micros(c.cast("timestamp"))
+    if t.base == "date":
+        return -F.unix_date(c)
+    if t.base == "bool":
+        return ~c
+    # complemented bytes, with an end mark above them, so that longer texts come before their beginnings
+    return F.concat(F.translate(F.hex(c.cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
 def first_in_order(value: Column, order: tuple, keep: Column | None) -> Column:
-    """The value of the group's first row in an order of `(column, descending, nulls_first)`; a null value is kept.
+    """The value of the group's first row in an order of `(column, descending, nulls_first, type)`; a null value is kept.
 
-    One direction for all terms folds in constant space by `min_by` or `max_by`: a null flag before each term
-    places its nulls. Mixed directions sort the group.
+    It folds in constant space by `min_by` or `max_by`: a flag before each term places its nulls, and where directions are mixed,
+    descending terms are turned round.
     """
-    if len({d for _, d, _ in order}) == 1:
-        down = order[0][1]
-        parts = []
-        for i, (c, _, nulls_first) in enumerate(order):
-            # least (or greatest) wins, so the flag of a null is below (above) if nulls come first
-            flag = F.when(c.isNull(), 0 if nulls_first != down else 2).otherwise(1)
-            parts += [flag.alias(f"f{i}"), c.alias(f"v{i}")]
-        key, boxed = F.struct(*parts), F.struct(value.alias("x"))
-        key = key if keep is None else F.when(keep, key)
-        return (F.max_by if down else F.min_by)(boxed, key)["x"]
-    rows = F.struct(*[c.alias(f"v{i}") for i, (c, _, _) in enumerate(order)], value.alias("x"))
-    held = F.collect_list(rows if keep is None else F.when(keep, rows))
-
-    def before(a: Column, b: Column) -> Column:
-        out = F.lit(0)
-        for i, (_, down, nulls_first) in reversed(list(enumerate(order))):
-            x, y = a[f"v{i}"], b[f"v{i}"]
-            less, more = (F.lit(1), F.lit(-1)) if down else (F.lit(-1), F.lit(1))
-            first, last = (F.lit(-1), F.lit(1)) if nulls_first else (F.lit(1), F.lit(-1))
-            out = (
-                F.when(x.isNull() & y.isNull(), out).when(x.isNull(), first).when(y.isNull(), last).when(x < y, less).when(x > y, more).otherwise(out)
-            )
-        return out
-
-    return F.get(F.array_sort(held, before), F.lit(0))["x"]
+    down = all(d for _, d, _, _ in order)
+    parts = []
+    for i, (c, falling, nulls_first, t) in enumerate(order):
+        # least (or greatest, if all fall) wins, so the flag of a null is below (above) if nulls come first
+        flag = F.when(c.isNull(), 0 if nulls_first != down else 2).otherwise(1)
+        parts += [flag.alias(f"f{i}"), (_reversed(c, t) if falling and not down else c).alias(f"v{i}")]
+    key, boxed = F.struct(*parts), F.struct(value.alias("x"))
+    key = key if keep is None else F.when(keep, key)
+    return (F.max_by if down else F.min_by)(boxed, key)["x"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import arrays, json_docs, ranges, scalars, text_search
 from tessella.operators import terms as T
+from tessella.types import Type
 
 
 def one(spark, column):
@@ -97,17 +98,32 @@ def test_truncation_and_division(spark):
 
 def test_first_keeps_nulls_in_every_order(spark):
     rows = spark.createDataFrame([(1, None, "n"), (1, 2, "b"), (1, 1, "a"), (1, 3, None)], "g int, k int, v string")
-    k = F.col("k")
+    k, i4 = F.col("k"), Type("int4")
     for down, nulls_first, want in ((False, False, "a"), (False, True, "n"), (True, True, "n"), (True, False, None)):
-        got = rows.groupBy("g").agg(T.first_in_order(F.col("v"), ((k, down, nulls_first),), None).alias("x")).first().x
+        got = rows.groupBy("g").agg(T.first_in_order(F.col("v"), ((k, down, nulls_first, i4),), None).alias("x")).first().x
         assert got == want
-    mixed = ((F.col("g"), True, True), (k, False, False))
+    mixed = ((F.col("g"), True, True, i4), (k, False, False, i4))
     assert rows.groupBy("g").agg(T.first_in_order(F.col("v"), mixed, None).alias("x")).first().x == "a"
     assert rows.groupBy("g").agg(T.first_in_order(F.col("v"), mixed, F.lit(False)).alias("x")).first().x is None
 
 
+def test_mixed_orders_turn_every_type_round(spark):
+    values = {
+        "int8": [-(2**63), -1, 0, 5, 2**63 - 1],
+        "float8": [-1.5, 0.0, 2.25],
+        "text": ["", "a", "ab", "abc", "b", "é"],
+        "date": [dt.date(1969, 1, 2), dt.date(2020, 5, 5)],
+        "timestamp": [dt.datetime(1960, 1, 1), dt.datetime(2020, 1, 1, 3)],
+    }
+    for base, some in values.items():
+        t = Type(base)
+        rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(some)], "g int, i int, v " + t.spark.simpleString())
+        order = ((F.col("g"), False, False, Type("int4")), (F.col("v"), True, True, t))
+        assert rows.groupBy("g").agg(T.first_in_order(F.col("i"), order, None).alias("x")).first().x == len(some) - 1, base
+
+
 def test_exact_averages_of_money(spark):
     rows = spark.createDataFrame([(Decimal("0.10"),)] * 3, "m decimal(12,2)")
-    arg = T.Typed(F.col("m"), __import__("tessella.types", fromlist=["Type"]).Type("numeric", 12, 2), False)
+    arg = T.Typed(F.col("m"), Type("numeric", 12, 2), False)
     got = rows.agg(T.aggregate("sum", arg, None).column.alias("s"), T.aggregate("avg", arg, None).column.alias("a")).first()
     assert got.s == Decimal("0.30") and got.a == Decimal("0.100000")
