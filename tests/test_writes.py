@@ -197,3 +197,28 @@ def test_stream_and_hooks(spark, tmp_path):
     with pytest.raises(ZeroDivisionError), hooks.around("x"):
         1 / 0
     assert seen[0][0] == "x" and hooks.calls == 1
+
+
+def test_introspection_bulk_loads_and_sizes(spark, tmp_path):
+    from tessella.sources import tables
+
+    path = f"file://{tmp_path}/t"
+    tables.append(spark.range(5).selectExpr("id", "cast(id AS decimal(12,2)) AS money", "array('x') AS tags"), path)
+    tables.append(spark.range(3).selectExpr("id", "cast(id AS decimal(12,2)) AS money", "array('y') AS tags"), path)
+    t = tables.describe(spark, path, "t")
+    assert [str(c.type) for c in t.columns] == ["int8", "numeric(12,2)", "text[]"]
+    assert tables.sizes(spark, {"t": path}).first().n_rows == 8
+    assert tables.parquet(spark, path, t).columns == ["id", "money", "tags"]
+
+
+def test_shards_by_table_and_name(spark):
+    from tessella.sources.shards import ShardSet, TableLocator
+
+    where = TableLocator([(0, "low"), (100, "high")])
+    assert (where.locate(99), where.locate(100)) == ("low", "high")
+    with pytest.raises(QueryError):
+        where.locate(-1)
+    shards = ShardSet({n: (lambda s, t, n=n: s.range(3).withColumn("n", F.lit(n))) for n in ("low", "high")}, where.locate)
+    assert shards.for_key(spark, "t", 500).first().n == "high" and shards.each(spark, "t").count() == 6
+    with pytest.raises(QueryError):
+        shards.for_id(spark, "t", "none")
