@@ -1,7 +1,7 @@
 """Every registered query against its SQL."""
 
 import pytest
-from conftest import rows_of
+from row_text import rows_of
 
 from tessella import reports
 
