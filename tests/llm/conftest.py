@@ -1,15 +1,9 @@
-import random
-
 import pytest
+from text_maker import words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, shard int, h string, doc string, fp binary, mark string, t string, spans string, license string, sequence_id long, kd_h long, mix_rate double"
 
 
-def words(n: int, seed: int = 0) -> str:
-    rng = random.Random(seed)
-    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def messy(spark):
     """Nulls in any column, empty and very long texts, ties, repeated rows, and columns that clash with the operators' own."""

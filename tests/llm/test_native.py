@@ -3,7 +3,7 @@
 import zlib
 
 import pytest
-from conftest import words
+from text_maker import words
 from tessella.llm import kdshard, licenses, mixing
 
 

@@ -84,7 +84,7 @@ def test_hot_buckets_are_split_without_losing_a_link(spark):
 
 
 def test_wide_fingerprints_find_similar_texts(spark):
-    from conftest import words
+    from text_maker import words
 
     base = words(400, 5).split()
     rows = []

@@ -2,7 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from conftest import words
+from text_maker import words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tessella.llm import suffixdedup as D

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import words
+from text_maker import words
 from tessella.llm import fertility, fingerprint, packing, warc
 from tokenizers import Tokenizer
 

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import words
+from text_maker import words
 from tessella.llm import toxicity as T
 
 
