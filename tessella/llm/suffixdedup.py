@@ -37,12 +37,15 @@ from .common import bounded, materialise, release, released, ship, texts
 from .suffixarray import permuted_lcp, suffix_array
 
 GRAM = 96
-HOT = 400
-HOT_CELL = 1500
+HOT = 300
+HOT_CELL = 800
 BLOCK = 2048
-BLOCK_PIECES = 3000
+BLOCK_PIECES = 1000
 CELLS = 4
+#: Tables of keys, 8 to 60 bytes a row, are broadcast up to so many rows.
+BROADCAST_KEYS = 100_000
 SHARD_BYTES = 600_000
+SHARD_TASKS = 20_000
 _PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -207,6 +210,11 @@ def _cell_rows(length: int):
     return run
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """Marks a table of keys for broadcast if, counted, it has few rows; else it is shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _same(a: str, b: str) -> Column:
     return F.coalesce(F.col(a), F.lit(-1)) == F.coalesce(F.col(b), F.lit(-1))
 
@@ -220,7 +228,7 @@ def _parted(pieces: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFr
     key = ["h", "r0", "r1", "core"]
     one = F.min(F.struct("doc", "t", "pos", "s", "e")).alias("one")
     kinds = materialise(by_cell.groupBy(*key, "span").agg(F.count(F.lit(1)).alias("n"), one), "cell-kinds")
-    whole = by_cell.join(kinds.where("n > 1").select(*key, "span"), [*key, "span"], "left_semi").select("doc", "t", F.col("s").alias("a"), F.col("e").alias("b"))
+    whole = by_cell.join(_small(kinds.where("n > 1").select(*key, "span")), [*key, "span"], "left_semi").select("doc", "t", F.col("s").alias("a"), F.col("e").alias("b"))
     mixed = kinds.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").drop("least")
     picks = kinds.join(materialise(mixed, "cell-mixed"), key).select(*key, "m", "one.*")
     at = pieces.withColumnsRenamed({"doc": "doc2", "t": "t2", "pos": "pos2", "h": "h2"})
@@ -275,20 +283,35 @@ def repeated_in(segments: list[tuple[tuple, int, bytes]], length: int) -> list[t
     return [(segments[owner_[hit[i]]][0], int(place_[hit[i]]), int(place_[hit[j]]) + length) for i, j in zip(cut, ends)]
 
 
-def _shard(length: int):
+def _segments(rows: pd.DataFrame) -> list[tuple[tuple, int, bytes]]:
+    """A group's pieces, overlapping ones of a document joined."""
+    out: list[tuple[tuple, int, bytes]] = []
+    rows = rows.sort_values(["doc", "t", "a"], kind="stable", na_position="last")
+    for doc, t, a, data in zip(rows["doc"].astype(object), rows["t"], rows["a"], rows["piece"]):
+        key, a = (None if pd.isna(doc) else int(doc), int(t)), int(a)
+        if out and out[-1][0] == key and a <= out[-1][1] + len(out[-1][2]):
+            _, start, held = out[-1]
+            out[-1] = (key, start, held + data[max(0, start + len(held) - a) :])
+        else:
+            out.append((key, a, data))
+    return out
+
+
+def _shard(length: int, most: int):
+    """Groups are whole by themselves: a suffix array is built for as many as have `most` bytes, or for one larger group."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        segments: list[tuple[tuple, int, bytes]] = []
-        rows = rows.sort_values(["doc", "t", "a"], kind="stable", na_position="last")
-        for doc, t, a, data in zip(rows["doc"].astype(object), rows["t"], rows["a"], rows["piece"]):
-            key = (None if pd.isna(doc) else int(doc), int(t))
-            a = int(a)
-            if segments and segments[-1][0] == key and a <= segments[-1][1] + len(segments[-1][2]):
-                _, start, held = segments[-1]
-                segments[-1] = (key, start, held + data[max(0, start + len(held) - a) :])
-            else:
-                segments.append((key, a, data))
-        spans = repeated_in(segments, length)
-        del segments, rows
+        spans, held, size = [], [], 0
+        for _, group in rows.groupby("g", sort=True):
+            segments = _segments(group)
+            n = sum(len(data) for _, _, data in segments)
+            if held and size + n > most:
+                spans += repeated_in(held, length)
+                held, size = [], 0
+            held += segments
+            size += n
+        spans += repeated_in(held, length)
+        del held, rows
         release()
         return pd.DataFrame(
             {"doc": pd.array([k[0] for k, _, _ in spans], "Int64"), "t": np.array([k[1] for k, _, _ in spans], np.int64), "a": np.array([a for _, a, _ in spans], np.int64), "b": np.array([b for _, _, b in spans], np.int64)}
@@ -308,10 +331,10 @@ def repeated_spans(docs: DataFrame, *, doc_id: str, text: str, length: int, gram
     found = rows.mapInArrow(released(_anchor_rows(length, gram)), "h long, sh long, doc long, t long, pos long")
     every = materialise(found, "anchors")
     often = materialise(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors-often")
-    again = materialise(every.join(often, "h", "left_semi"), "anchors-again")
+    again = materialise(every.join(_small(often), "h", "left_semi"), "anchors-again")
     one = F.min(F.struct("doc", "t", "pos")).alias("one")
     kinds = materialise(again.groupBy("h", "sh").agg(F.count(F.lit(1)).alias("n"), one), "snippet-kinds")
-    whole = again.join(kinds.where("n > 1").select("h", "sh"), ["h", "sh"], "left_semi")
+    whole = again.join(_small(kinds.where("n > 1").select("h", "sh")), ["h", "sh"], "left_semi")
     whole = whole.select("doc", "t", (F.col("pos") - (length - gram)).alias("a"), (F.col("pos") + length).alias("b"))
     # several snippets, one of them without an equal: only there can a suffix array add anything
     mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.min("one").alias("lead"))
@@ -335,9 +358,9 @@ def repeated_spans(docs: DataFrame, *, doc_id: str, text: str, length: int, gram
     shards = max(1, -(-total // shard_bytes))
     marked = (
         dealt.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)))
-        .drop("g")
+        .repartition(min(shards, SHARD_TASKS), "shard")  # by number, as shards are small and slow: Spark is not to merge their tasks
         .groupBy("shard")
-        .applyInPandas(_shard(length), "doc long, t long, a long, b long")
+        .applyInPandas(_shard(length, shard_bytes), "doc long, t long, a long, b long")
     )
     spans = whole.unionByName(marked)
     return rows, spans.groupBy("doc", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
