@@ -11,16 +11,17 @@ from .common import materialise
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star operation on distinct edges (u > v).
 
-    Large: every neighbour above u moves to the least of u and its neighbours. Small: u and its neighbours below it move to
+    The least neighbours are a table of their own, so that both sides of the join are shuffled and Spark may split a node with very
+    many edges. Large: every neighbour above u moves to the least of u and its neighbours. Small: u and its neighbours below it move to
     the least of them.
     """
     if large:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
         moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # u's own edge to its least neighbour stays among the edges of that neighbour
         return moved.where("u <> v").distinct()
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -40,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     current = materialise(kept, "cc")
     before = _state(current)
     while before[0]:
-        current = materialise(_stars(_stars(current, True), False), "cc")
+        current = materialise(_stars(materialise(_stars(current, True), "cc-large"), False), "cc")
         after = _state(current)
         if after == before:
             break
