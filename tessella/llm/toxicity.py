@@ -64,12 +64,12 @@ class Words:
         self.docs = []
         for d in data:
             words = d.translate(CLEAN).split()
-            self.docs.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words)))
+            self.docs.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
         self.words = list(index)
         lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
         # each word stands between a 1 and a 2
         raw = np.frombuffer(b"".join(b"\x01" + w + b"\x02" for w in self.words), np.uint8).astype(np.uint64)
-        owner = np.repeat(np.arange(len(self.words)), lengths + 2)
+        owner = np.repeat(np.arange(len(self.words), dtype=np.int32), lengths + 2)
         grams, whose = [], []
         for n in GRAMS:
             if len(raw) < n:
@@ -79,9 +79,9 @@ class Words:
                 h = (h ^ raw[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
             inside = owner[: len(h)] == owner[n - 1 :]
-            grams.append((h[inside] % np.uint64(GRAM_ROWS)).astype(np.int64))
+            grams.append((h[inside] % np.uint64(GRAM_ROWS)).astype(np.int32))
             whose.append(owner[: len(h)][inside])
-        self.grams, self.whose = (np.concatenate(grams), np.concatenate(whose)) if grams else (np.zeros(0, np.int64),) * 2
+        self.grams, self.whose = (np.concatenate(grams), np.concatenate(whose)) if grams else (np.zeros(0, np.int32),) * 2
         by = np.argsort(self.whose, kind="stable")
         self.grams, self.whose = self.grams[by], self.whose[by]
         # every word has a 3-gram: even one letter between its marks
@@ -131,7 +131,11 @@ class Network:
         x = np.zeros((len(w.words) + 1, WORD_DIM + GRAM_DIM), np.float32)
         if w.words:
             x[:-1, :WORD_DIM] = self.p["word"][w.rows]
-            x[:-1, WORD_DIM:] = np.maximum.reduceat(self.p["gram"][w.grams], w.first)
+            ends = np.append(w.first, len(w.grams))
+            for lo in range(0, len(w.words), 8192):  # all words' grams at once would be large
+                hi = min(lo + 8192, len(w.words))
+                a, b = ends[lo], ends[hi]
+                x[lo:hi, WORD_DIM:] = np.maximum.reduceat(self.p["gram"][w.grams[a:b]], w.first[lo:hi] - a)
         return x
 
     def forward(self, x: np.ndarray, win: np.ndarray, keep: bool = False):
