@@ -109,15 +109,15 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
     return bins, offsets
 
 
-PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PACKED = "none boolean, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def _pack_group(length: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["none", "doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
         bins, rows["offset"] = first_fit_decreasing(rows["length"].to_numpy(), length)
         rows["sequence_id"] = (int(key[0]) << 32) + bins
-        return rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        return rows[["none", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
     return run
 
@@ -138,7 +138,9 @@ def pack(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = rows.mapInArrow(released(_pieces(length, vocabulary)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
-    return dealt.groupBy("pack_group").applyInPandas(_pack_group(length), PACKED)
+    dealt = dealt.withColumns({"none": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})  # pandas has no null integers
+    packed = dealt.groupBy("pack_group").applyInPandas(_pack_group(length), PACKED)
+    return packed.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
