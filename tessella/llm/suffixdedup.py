@@ -283,18 +283,23 @@ def repeated_in(segments: list[tuple[tuple, int, bytes]], length: int) -> list[t
     return [(segments[owner_[hit[i]]][0], int(place_[hit[i]]), int(place_[hit[j]]) + length) for i, j in zip(cut, ends)]
 
 
-def _segments(rows: pd.DataFrame) -> list[tuple[tuple, int, bytes]]:
-    """A group's pieces, overlapping ones of a document joined."""
+def _groups(rows: pd.DataFrame) -> Iterator[list[tuple[tuple, int, bytes]]]:
+    """Each group's pieces, overlapping ones of a document joined."""
+    rows = rows.sort_values(["g", "none", "doc", "t", "a"], kind="stable")
     out: list[tuple[tuple, int, bytes]] = []
-    rows = rows.sort_values(["doc", "t", "a"], kind="stable", na_position="last")
-    for doc, t, a, data in zip(rows["doc"].astype(object), rows["t"], rows["a"], rows["piece"]):
-        key, a = (None if pd.isna(doc) else int(doc), int(t)), int(a)
+    last = None
+    for g, doc, none, t, a, data in zip(rows["g"].tolist(), rows["doc"].tolist(), rows["none"].tolist(), rows["t"].tolist(), rows["a"].tolist(), rows["piece"]):
+        if g != last and out:
+            yield out
+            out = []
+        last, key = g, (None if none else doc, t)
         if out and out[-1][0] == key and a <= out[-1][1] + len(out[-1][2]):
             _, start, held = out[-1]
             out[-1] = (key, start, held + data[max(0, start + len(held) - a) :])
         else:
             out.append((key, a, data))
-    return out
+    if out:
+        yield out
 
 
 def _shard(length: int, most: int):
@@ -302,8 +307,7 @@ def _shard(length: int, most: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         spans, held, size = [], [], 0
-        for _, group in rows.groupby("g", sort=True):
-            segments = _segments(group)
+        for segments in _groups(rows):
             n = sum(len(data) for _, _, data in segments)
             if held and size + n > most:
                 spans += repeated_in(held, length)
@@ -357,7 +361,8 @@ def repeated_spans(docs: DataFrame, *, doc_id: str, text: str, length: int, gram
     total = dealt.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     marked = (
-        dealt.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)))
+        dealt.withColumns({"none": F.col("doc").isNull(), "doc": F.coalesce("doc", F.lit(0))})  # pandas has no null integers
+        .withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)))
         .repartition(min(shards, SHARD_TASKS), "shard")  # by number, as shards are small and slow: Spark is not to merge their tasks
         .groupBy("shard")
         .applyInPandas(_shard(length, shard_bytes), "doc long, t long, a long, b long")
