@@ -115,6 +115,56 @@ def test_bands_by_language_and_script():
     assert fertility.script_of("123 !!") == "other"
 
 
+def junk(seed):
+    import string
+
+    rng = random.Random(seed)
+
+    def parted(s):
+        return " ".join(s[i : i + 7] for i in range(0, len(s), 7))
+
+    raw = rng.randbytes(900)
+    yield "hex", parted(raw.hex())
+    yield "base64", parted(base64.b64encode(raw).decode())
+    yield "marks", parted("".join(rng.choice(string.punctuation) for _ in range(900)))
+    yield "digits", parted("".join(rng.choice(string.digits) for _ in range(900)))
+    yield "letters", parted("".join(rng.choice(string.ascii_lowercase) for _ in range(900)))
+
+
+def test_junk_is_rejected_whatever_its_language():
+    for seed in range(5):
+        for kind, text in junk(seed):
+            for lang in ("en", "de", "fr", "es", None, "xx"):
+                row = fertility.judge([text.encode()], [lang])[0]
+                assert not row[5] and not row[6], (kind, lang, row)
+
+
+def test_clean_rows_of_each_language_are_kept_and_their_shuffled_letters_are_not(spark):
+    rng = random.Random(1)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang").collect()
+    for lang in ("en", "de", "fr", "es"):
+        own = [r.text for r in rows if r.lang == lang]
+        good = [t for t, j in zip(own, fertility.judge([t.encode() for t in own], [lang] * len(own))) if not j[5]]
+        kept = [j[6] for j in fertility.judge([t.encode() for t in good], [lang] * len(good))]
+        assert sum(kept) >= 0.98 * len(kept) > 0
+        shuffled = [" ".join("".join(rng.sample(w, len(w))) for w in t.split()).encode() for t in good]
+        judged = [j for j in fertility.judge(shuffled, [lang] * len(good)) if not j[5]]
+        assert sum(j[6] for j in judged) <= 0.02 * len(judged)
+
+
+def test_ordinary_prose_is_kept():
+    prose = {
+        "en": "We hold these truths to be self-evident, that all men are created equal, that they are endowed by their Creator with certain unalienable Rights.",
+        "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen.",
+        "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres.",
+        "es": "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros.",
+        "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+        "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται.",
+    }
+    for lang, text in prose.items():
+        assert fertility.judge([text.encode()], [lang])[0][6] and fertility.judge([text.encode()], [None])[0][6], lang
+
+
 # packing
 @pytest.mark.parametrize("kind", ["docs", "messy"])
 def test_packing(request, kind):
