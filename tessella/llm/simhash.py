@@ -11,6 +11,9 @@ counters have passed the radius. The links are walked breadth first: matched lan
 each linked fingerprint, never its pairs. A bucket above `cell` fingerprints is split by a hash into parts, and every two parts
 meet in a task of their own, so no task holds more than two parts and no pair is missed.
 
+With a wanted similarity, these groups only tell which texts to compare: every link inside one is then decided by the exact Jaccard
+similarity of the shingle sets, each distinct set once, and the components are taken of those links alone.
+
 Defined results for odd input: null, empty and wordless texts have the fingerprint zero and link like any other; fewer
 words than a shingle are one shingle; ids may repeat (their rows get the same answer for the same text) and
 null ids are ignored when the smallest id is sought; an empty table gives no rows.
@@ -31,6 +34,8 @@ from .components import components
 
 #: Largest bucket that one task compares at once.
 CELL = 4096
+#: Largest cell of shingle sets that one task compares, in sets and in shingles.
+SET_CELL, SET_SHINGLES = 1024, 4 << 20
 #: The words of plane blocks that are abandoned together.
 BLOCK_WORDS = 8
 _CHUNK = 1 << 15
@@ -72,19 +77,29 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> bytes:
     return b"".join(out)[::-1]
 
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 64, seed: int = 42) -> DataFrame:
-    """`(doc_id, mark, fp)` for every row; the mark is a hash of the text."""
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 64, seed: int = 42, sets: bool = False) -> DataFrame:
+    """`(doc_id, mark, fp)` for every row; the mark is a hash of the text.
+
+    With `sets` also `node`, the fingerprint with a hash of the set of shingles, and `size`, the number in the set.
+    """
     ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_digest
+
         for batch in batches:
             for part in bounded(batch.column(2)):
-                found = [fingerprint(shingle_hashes(d, shingle, seed), bits) for d in texts(batch.column(2)[part])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], pa.array(found, pa.binary())], names=["doc_id", "mark", "fp"])
+                hashes = [shingle_hashes(d, shingle, seed) for d in texts(batch.column(2)[part])]
+                found = [fingerprint(h, bits) for h in hashes]
+                columns = [batch.column(0)[part], batch.column(1)[part], pa.array(found, pa.binary())]
+                if sets:
+                    distinct = [np.unique(h) for h in hashes]
+                    columns += [pa.array([f + xxh64_digest(x.tobytes()) for f, x in zip(found, distinct)], pa.binary()), pa.array(map(len, distinct), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp", "node", "size"][: len(columns)])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_mark(text).alias("mark"), F.col(text).alias("text"))
-    return rows.mapInArrow(released(run), f"doc_id {kind}, mark long, fp binary")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, mark long, fp binary" + (", node binary, size long" if sets else ""))
 
 
 def text_mark(text: str):
@@ -286,6 +301,79 @@ def links(distinct: DataFrame, masks: list[list[int]], radius: int, cell: int =
     return grouped.select("members").mapInArrow(released(_linked(radius)), "a binary, b binary").distinct()
 
 
+def set_clusters(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Each set's cluster under links of the Jaccard similarity or more: the number of its first member in the walk."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    count = np.bincount(codes)
+    bounds = np.cumsum(sizes)[:-1]
+    own = np.split(codes, bounds)
+    owner = np.repeat(np.arange(n), sizes)
+    shared = count[codes] > 1  # a shingle of one set alone is in no intersection
+    codes, owner = codes[shared], owner[shared]
+    flags = np.zeros(len(count), np.bool_)
+    live = np.ones(n, np.bool_)
+    root = np.arange(n)
+    for first in range(n):
+        if not live[first]:
+            continue
+        live[first] = False
+        frontier = [first]
+        while frontier and len(codes):
+            q = frontier.pop()
+            flags[own[q]] = True
+            both = np.bincount(owner[flags[codes]], minlength=n)
+            flags[own[q]] = False
+            found = np.flatnonzero(live & (both > 0) & (both / np.maximum(1, sizes + sizes[q] - both) >= similarity))
+            if len(found):
+                root[found] = first
+                live[found] = False
+                frontier += found.tolist()
+                keep = live[owner]
+                codes, owner = codes[keep], owner[keep]
+    return root
+
+
+def _sets(shingle: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bounded(batch.column(1)):
+                found = [np.unique(shingle_hashes(d, shingle, seed)).tobytes() for d in texts(batch.column(1)[part])]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(found, pa.binary())], names=["node", "hashes"])
+
+    return run
+
+
+def _verified(similarity: float):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        nodes = rows.column("node").to_pylist()
+        root = set_clusters([np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()], similarity)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": pa.array([nodes[i] for i in moved], pa.binary()), "b": pa.array([nodes[root[i]] for i in moved], pa.binary())})
+
+    return run
+
+
+def verified_links(docs: DataFrame, fps: DataFrame, loose: DataFrame, *, text: str, shingle: int, seed: int, similarity: float, cell: int) -> DataFrame:
+    """Edges `(a, b)` of nodes that join all whose sets are so similar inside a loose group `(node, root)` of fingerprints."""
+    nodes = materialise(fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min("mark").alias("mark"), F.min("size").alias("size")), "simhash-nodes")
+    rooted = nodes.join(loose.withColumnsRenamed({"node": "fp"}), "fp", "left").select("node", "mark", "size", F.coalesce("root", "fp").alias("root"))
+    sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("n > 1")
+    # a group of more than a cell is parted, and the rows of a part go to its meetings with every part
+    few = (F.col("n") <= cell) & (F.col("total") <= SET_SHINGLES)
+    parts = F.when(few, 1).otherwise(F.greatest(F.ceil(F.col("n") * 2 / cell), F.ceil(F.col("total") * 2 / SET_SHINGLES))).cast("int")
+    met = materialise(rooted.join(sizes.select("root", parts.alias("parts")), "root"), "simhash-met")
+    bodies = docs.select(text_mark(text).alias("mark"), F.col(text).alias("text")).join(met.select("mark", "node"), "mark")
+    hashes = bodies.select("node", "text").mapInArrow(released(_sets(shingle, seed)), "node binary, hashes binary")
+    sets = materialise(hashes.groupBy("node").agg(F.first("hashes").alias("hashes")), "simhash-sets")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
+    cells = met.withColumn("own", own).select("node", "root", F.explode(meets).alias("c")).join(sets, "node")
+    return cells.select("root", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "node", "hashes").groupBy("root", "i", "j").applyInArrow(_verified(similarity), "a binary, b binary").distinct()
+
+
 def near_groups(
     docs: DataFrame,
     *,
@@ -301,26 +389,29 @@ def near_groups(
 ) -> DataFrame:
     """`(doc_id, mark, fp, root, component_id)`: each row's text mark and fingerprint, its group, and the smallest id in it.
 
-    With `radius` alone the result is exact. With `similarity` (a Jaccard similarity of shingle sets) the radius is the
-    number of bits at which texts so similar differ, plus one standard deviation, and buckets are sampled for `recall`;
-    take 256 bits or more then.
+    With `radius` alone the result is exact. With `similarity` (a Jaccard similarity of shingle sets) rows are linked by that similarity
+    itself. Which are compared is found at a radius of the number of bits at which texts so similar differ, plus three standard
+    deviations, in buckets sampled for `recall` at that radius; take 256 bits or more then.
     """
-    fps = materialise(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle, bits=bits, seed=seed), "simhash")
+    fps = materialise(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle, bits=bits, seed=seed, sets=similarity is not None), "simhash")
     firsts = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    node = "fp"
     if similarity is None:
-        masks = block_masks(bits, radius)
+        roots = components(links(firsts, block_masks(bits, radius), radius, cell))
     else:
         rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
-        radius = round(bits * rate + math.sqrt(bits * rate * (1 - rate)))
+        radius = round(bits * rate + 3 * math.sqrt(bits * rate * (1 - rate)))
         key_bits = max(6, math.ceil(math.log2(max(1, firsts.count()) / 1024)))
-        masks = sampled_masks(bits, rate, key_bits, recall, seed)
-    roots = components(links(firsts, masks, radius, cell))
-    linked = firsts.join(roots.withColumnsRenamed({"node": "fp"}), "fp")
+        masks = sampled_masks(bits, radius / bits, key_bits, recall, seed)
+        loose = materialise(components(links(firsts, masks, radius, cell)), "simhash-loose")
+        roots = components(verified_links(docs, fps, loose, text=text, shingle=shingle, seed=seed, similarity=similarity, cell=min(cell, SET_CELL)))
+        node, firsts = "node", materialise(fps.groupBy("node").agg(F.min("doc_id").alias("first_id")), "simhash-firsts")
+    linked = firsts.join(roots.withColumnsRenamed({"node": node}), node)
     reach = linked.groupBy("root").agg(F.min("first_id").alias("reach_id"))
-    answers = linked.join(reach, "root").select("fp", "root", "reach_id")
-    every = firsts.join(answers, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("reach_id")).alias("component_id"))
+    answers = linked.join(reach, "root").select(node, "root", "reach_id")
+    every = firsts.join(answers, node, "left").select(node, F.coalesce("root", node).alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("reach_id")).alias("component_id"))
     # both sides are tables, so Spark may split a fingerprint that many copies share
-    return fps.join(materialise(every, "simhash-groups"), "fp").select("doc_id", "mark", "fp", "root", "component_id")
+    return fps.join(materialise(every, "simhash-groups"), node).select("doc_id", "mark", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -98,6 +98,31 @@ def test_wide_fingerprints_find_similar_texts(spark):
     assert all(got[i] == 0 for i in range(20)) and all(got[100 + i] == 100 + i for i in range(50))
 
 
+@pytest.mark.parametrize("cell", [4096, 8])
+def test_similar_texts_are_those_of_brute_force(spark, cell):
+    from text_maker import words
+
+    texts = []
+    for i, share in enumerate(np.repeat(np.arange(0.005, 0.06, 0.0025), 6)):  # graded from 0.95 to below 0.6
+        w = words(300, 1000 + i).split()
+        at = np.random.default_rng(i).choice(300, max(1, round(300 * share)), replace=False)
+        texts += [" ".join(w), " ".join("changed" + str(j) if j in at else x for j, x in enumerate(w))]
+    texts += [texts[0], "", None, "one", "one"]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    root = list(range(len(texts)))
+    likes = []
+    for i in range(len(texts)):
+        for j in range(i):
+            like = len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) if sets[i] or sets[j] else 1
+            likes += [like] if like > 0.5 else []
+            if like >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
+    assert sum(0.6 < x < 0.8 for x in likes) > 20 < sum(0.8 <= x < 0.95 for x in likes)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(S.near_groups(df, shingle=5, bits=256, similarity=0.8, cell=cell).select("doc_id", "component_id").collect())
+    assert [got[i] for i in range(len(texts))] == root
+
+
 def test_components_of_a_chain_a_star_and_a_loop(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, i) for i in range(6, 30)] + [(50, 51), (51, 52), (52, 50), (7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).distinct().collect())
