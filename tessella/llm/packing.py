@@ -1,7 +1,8 @@
 """Packing tokenised documents into fixed-length sequences: first-fit decreasing over a tournament tree.
 
-A document's ids are cut into full pieces of the sequence length and a rest. Every piece is dealt by a hash to a group
-of about `group_docs` documents' pieces, and each group packs its pieces alone: full pieces fill sequences of their
+A document's ids are cut into full pieces of the sequence length and a rest. There is a group for every `group_docs` documents;
+pieces, not documents, are dealt to them by a hash of id, start and ids, so that a long document's pieces go to many groups
+and don't swell one. Each group packs its pieces alone: full pieces fill sequences of their
 own, rests go, longest first, to the leftmost sequence with room, found by descending a tournament tree whose inner
 nodes hold the most room below them (log n steps a piece). Sequence ids carry their group, so groups never meet.
 
