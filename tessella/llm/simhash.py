@@ -1,14 +1,15 @@
 """SimHash near-duplicate detection by bit-sliced comparison.
 
 A document's fingerprint has a bit set where most of its shingles' hashes have. Equal fingerprints are merged first.
-Distinct ones meet in buckets: by the pigeonhole principle two fingerprints at most `radius` bits apart agree on one of
-`radius + 1` blocks of bits, so one bucket a block loses no link. For a wide radius, where blocks would be too short to part anything,
-buckets are keyed by seeded samples of bits instead, as many as find a pair at the wanted similarity with the wanted chance.
+Distinct ones meet in buckets: of `radius + 3` blocks of bits, two fingerprints at most `radius` bits apart agree on three, so one
+bucket for every three blocks loses no link and has long keys. For a wide radius, where blocks would be too short to part anything,
+buckets are keyed by seeded samples of `key_bits` bits instead, as many as find a pair at the wanted similarity with the wanted chance.
 
 A bucket is compared as vertical bit planes: 64 fingerprints to a word of each plane, carry-save counters (ones, twos,
 fours, ...) that a few logic operations update for 64 distances at once, and a block of lanes is abandoned once all its
-counters have passed the radius. The links are walked breadth first: matched lanes leave the planes, so a bucket gives one row for
-each linked fingerprint, never its pairs. A bucket above `cell` fingerprints is split by a hash into parts, and every two parts
+counters have passed the radius. Small buckets are laid side by side in one set of planes, and every lane meets the lane one, two, ...
+places on. In large ones the links are walked breadth first: matched lanes leave the planes. Either way a bucket gives one row for each
+linked fingerprint, never its pairs. A bucket above `cell` fingerprints is split by a hash into parts, and every two parts
 meet in a task of their own, so no task holds more than two parts and no pair is missed.
 
 With a wanted similarity, these groups only tell which texts to compare: every link inside one is then decided by the exact Jaccard
@@ -22,14 +23,15 @@ null ids are ignored when the smallest id is sought; an empty table gives no row
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded, materialise, released, ship, texts
+from .common import ASCII_LOWER, bounded, materialise, released, ship, spare, texts
 from .components import components
 
 #: Largest bucket that one task compares at once.
@@ -38,6 +40,9 @@ CELL = 4096
 SET_CELL, SET_SHINGLES = 1024, 4 << 20
 #: The words of plane blocks that are abandoned together.
 BLOCK_WORDS = 8
+#: Buckets up to so many fingerprints share planes, of so many lanes.
+SMALL, LANES = 128, 1 << 14
+_ONES = np.uint64(2**64 - 1)
 _CHUNK = 1 << 15
 
 
@@ -106,12 +111,36 @@ def text_mark(text: str):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def passed(difference: Callable[[int], np.ndarray], planes: int, radius: int, over: np.ndarray) -> np.ndarray:
+    """The lanes whose distance passes the radius, beside those already `over`; abandoned once all lanes are.
+
+    `difference(j)` is plane j of the differing bits. The counters start so that they overflow past the radius.
+    """
+    size = (radius + 1).bit_length()
+    start = (1 << size) - 1 - radius
+    counter = [np.full(over.shape, _ONES if start >> k & 1 else np.uint64(0)) for k in range(size)]
+    for i in range(0, planes, 3):
+        x = [difference(j) for j in range(i, min(i + 3, planes))]
+        if len(x) == 3:  # a carry-save adder turns three planes into a one and a two
+            ab = x[0] ^ x[1]
+            adds = [ab ^ x[2], (x[0] & x[1]) | (ab & x[2])]
+        else:
+            adds = [x[0] ^ x[1], x[0] & x[1]] if len(x) == 2 else x
+        for level, add in enumerate(adds):
+            for k in range(level, size):
+                add, counter[k] = counter[k] & add, counter[k] ^ add
+            over |= add
+        if i >= radius and i % 6 == 0 and (over == _ONES).all():
+            break
+    return over
+
+
 class Planes:
     """Fingerprints as bit planes, `(bits, words)` of 64 lanes a word."""
 
     def __init__(self, fps: np.ndarray):
         n, width = fps.shape
-        self.n, self.fps = n, fps
+        self.n = n
         self.words = -(-n // 64)
         padded = np.zeros((self.words * 64, width), np.uint8)
         padded[:n] = fps
@@ -119,49 +148,48 @@ class Planes:
         self.bits = lanes[:n]
         self.planes = np.ascontiguousarray(np.packbits(lanes.T, axis=1, bitorder="little")).view(np.uint64).reshape(width * 8, self.words)
 
+    def flips(self, queries: np.ndarray) -> np.ndarray:
+        """The queries' bits as whole words, `(bits, queries, 1)`."""
+        return np.where(self.bits[queries].T != 0, _ONES, np.uint64(0))[:, :, None]
+
     def within(self, queries: np.ndarray, radius: int, live: np.ndarray) -> np.ndarray:
         """Of the live lanes, those within the radius of any of the queries (lane numbers), as words."""
         found = np.zeros(self.words, np.uint64)
-        size = (radius + 1).bit_length()
-        flips = np.where(self.bits[queries].T != 0, np.uint64(2**64 - 1), np.uint64(0))  # (bits, queries)
+        flips = self.flips(queries)
         for lo in range(0, self.words, BLOCK_WORDS):
             block = live[lo : lo + BLOCK_WORDS]
-            if not block.any():
-                continue
-            planes = self.planes[:, lo : lo + BLOCK_WORDS]
-            shape = (len(queries), planes.shape[1])
-            # counters start so that they overflow when the distance passes the radius
-            start = (1 << size) - 1 - radius
-            counter = [np.full(shape, np.uint64(2**64 - 1) if start >> k & 1 else np.uint64(0)) for k in range(size)]
-            over = np.broadcast_to(~block, shape).copy()
-            for i in range(0, len(planes), 3):
-                carry = []
-                # a carry-save adder turns three planes into a one and a two
-                x = [planes[j] ^ flips[j][:, None] for j in range(i, min(i + 3, len(planes)))]
-                if len(x) == 3:
-                    ab = x[0] ^ x[1]
-                    carry = [ab ^ x[2], (x[0] & x[1]) | (ab & x[2])]
-                else:
-                    carry = [x[0] ^ x[1], x[0] & x[1]] if len(x) == 2 else [x[0], None]
-                for level, add in enumerate(carry):
-                    if add is None:
-                        continue
-                    for k in range(level, size):
-                        add, counter[k] = counter[k] & add, counter[k] ^ add
-                    over |= add
-                if i >= radius and i % 6 == 0 and (over == np.uint64(2**64 - 1)).all():
-                    break
-            found[lo : lo + BLOCK_WORDS] = np.bitwise_or.reduce(~over, axis=0)
+            if block.any():
+                planes = self.planes[:, lo : lo + BLOCK_WORDS]
+                over = np.broadcast_to(~block, (len(queries), len(block))).copy()
+                over = passed(lambda j: planes[j] ^ flips[j], len(planes), radius, over)
+                found[lo : lo + BLOCK_WORDS] = np.bitwise_or.reduce(~over, axis=0)
         return found & live
 
+    def accompanied(self, queries: np.ndarray, radius: int) -> np.ndarray:
+        """Whether each query has another lane within the radius."""
+        hit = np.zeros(len(queries), np.bool_)
+        full = packed(np.arange(self.words * 64) < self.n)
+        flips = self.flips(queries)
+        for lo in range(0, self.words, BLOCK_WORDS):
+            planes = self.planes[:, lo : lo + BLOCK_WORDS]
+            over = np.broadcast_to(~full[lo : lo + BLOCK_WORDS], (len(queries), planes.shape[1])).copy()
+            own = queries - lo * 64
+            inside = np.flatnonzero((own >= 0) & (own < planes.shape[1] * 64))
+            over[inside, own[inside] >> 6] |= np.uint64(1) << (own[inside] & 63).astype(np.uint64)
+            hit |= (passed(lambda j: planes[j] ^ flips[j], len(planes), radius, over) != _ONES).any(axis=1)
+        return hit
+
+
+def packed(lanes: np.ndarray) -> np.ndarray:
+    """Flags of a multiple of 64 lanes as words."""
+    return np.packbits(lanes, bitorder="little").view(np.uint64)
+
 
-def clusters(fps: np.ndarray, radius: int, queries: np.ndarray | None = None) -> np.ndarray:
+def clusters(fps: np.ndarray, radius: int) -> np.ndarray:
     """Each fingerprint's cluster: the number of its first member in the walk."""
     planes = Planes(fps)
     n = len(fps)
-    live = np.zeros(planes.words * 64, np.uint8)
-    live[:n] = 1
-    live = np.packbits(live, bitorder="little").view(np.uint64)
+    live = packed(np.arange(planes.words * 64) < n)
     root = np.full(n, -1, np.int64)
     for first in range(n):
         if root[first] >= 0:
@@ -185,67 +213,65 @@ def singles_first(fps: np.ndarray, radius: int) -> np.ndarray:
     n = len(fps)
     if n < 3:
         return clusters(fps, radius)
-    words = np.ascontiguousarray(fps).view(np.uint64)
     planes = Planes(fps)
-    alone = np.ones(n, np.bool_)
-    full = np.full(planes.words, np.uint64(2**64 - 1))
-    if n % 64:
-        full[-1] = np.uint64((1 << (n % 64)) - 1)
-    del words
-    for lo in range(0, n, 256):
-        q = np.arange(lo, min(n, lo + 256))
-        alone[q] = ~_has_neighbour(planes, q, radius, full)
+    rest = np.flatnonzero(np.concatenate([planes.accompanied(np.arange(lo, min(n, lo + 256)), radius) for lo in range(0, n, 256)]))
     out = np.arange(n)
-    rest = np.flatnonzero(~alone)
     if len(rest):
         out[rest] = rest[clusters(fps[rest], radius)]
     return out
 
 
-def _has_neighbour(planes: Planes, queries: np.ndarray, radius: int, live: np.ndarray) -> np.ndarray:
-    """Whether each query has another lane within the radius."""
-    hit = np.zeros(len(queries), np.bool_)
-    size = (radius + 1).bit_length()
-    start = (1 << size) - 1 - radius
-    flips = np.where(planes.bits[queries].T != 0, np.uint64(2**64 - 1), np.uint64(0))
-    ones = np.uint64(2**64 - 1)
-    for lo in range(0, planes.words, BLOCK_WORDS):
-        block = planes.planes[:, lo : lo + BLOCK_WORDS]
-        shape = (len(queries), block.shape[1])
-        counter = [np.full(shape, ones if start >> k & 1 else np.uint64(0)) for k in range(size)]
-        over = np.broadcast_to(~live[lo : lo + BLOCK_WORDS], shape).copy()
-        own = queries - lo * 64
-        inside = np.flatnonzero((own >= 0) & (own < shape[1] * 64))
-        over[inside, own[inside] >> 6] |= np.uint64(1) << (own[inside] & 63).astype(np.uint64)
-        for i in range(0, len(block) - 2, 3):
-            a, b, c = (block[j] ^ flips[j][:, None] for j in (i, i + 1, i + 2))
-            ab = a ^ b
-            for level, add in enumerate((ab ^ c, (a & b) | (ab & c))):
-                for k in range(level, size):
-                    add, counter[k] = counter[k] & add, counter[k] ^ add
-                over |= add
-            if i >= radius and i % 6 == 0 and (over == ones).all():
+def side_by_side(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+    """`clusters` of several buckets at once: `sizes` of consecutive buckets, the largest first; no link leaves a bucket."""
+    n = len(fps)
+    x = Planes(fps)
+    lanes = x.words * 64
+    left = np.zeros(lanes, np.int64)  # the lanes of its bucket after each
+    left[:n] = np.repeat(np.cumsum(sizes), sizes) - np.arange(n) - 1
+    ones, others = [], []
+    for s in range(1, int(sizes[0])):
+        words = -(-int(sizes[sizes > s].sum()) // 64)
+        whole, bit = divmod(s, 64)
+        at = x.planes[:, whole : whole + words + 1]
+        at = np.pad(at, ((0, 0), (0, words + 1 - at.shape[1])))
+        moved = at[:, :words] if not bit else (at[:, :words] >> np.uint64(bit)) | (at[:, 1:] << np.uint64(64 - bit))
+        over = passed(lambda j: x.planes[j, :words] ^ moved[j], len(moved), radius, ~packed(left[: words * 64] >= s))
+        near = np.flatnonzero(np.unpackbits((~over).view(np.uint8), bitorder="little"))
+        ones.append(near)
+        others.append(near + s)
+    root = np.arange(n)
+    if ones and len(a := np.concatenate(ones)):
+        b = np.concatenate(others)
+        while True:
+            least = np.minimum(root[a], root[b])
+            new = root.copy()
+            np.minimum.at(new, a, least)
+            np.minimum.at(new, b, least)
+            new = new[new]
+            if (new == root).all():
                 break
-        else:
-            for i in range(len(block) - len(block) % 3, len(block)):
-                add = block[i] ^ flips[i][:, None]
-                for k in range(size):
-                    add, counter[k] = counter[k] & add, counter[k] ^ add
-                over |= add
-        hit |= (~over != 0).any(axis=1)
-    return hit
+            root = new
+    return root
 
 
 def block_masks(bits: int, radius: int) -> list[list[int]]:
-    """The bit positions of `radius + 1` blocks."""
-    cuts = [round(i * bits / (radius + 1)) for i in range(radius + 2)]
-    return [list(range(a, b)) for a, b in zip(cuts, cuts[1:])]
+    """The bit positions of every three of `radius + 3` blocks."""
+    cuts = [round(i * bits / (radius + 3)) for i in range(radius + 4)]
+    return [[p for a, b in three for p in range(a, b)] for three in combinations(list(zip(cuts, cuts[1:])), 3)]
+
+
+def bit_rate(similarity: float) -> float:
+    """The chance that a fingerprint bit differs between sets of a Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
 def sampled_masks(bits: int, rate: float, key_bits: int, recall: float, seed: int) -> list[list[int]]:
-    """Bit samples, as many that a pair whose bits differ at `rate` agrees on one with the chance `recall`."""
-    meets = (1 - rate) ** key_bits
-    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
+    """Bit samples, as many that a pair of which each bit differs with the chance `rate` agrees on one with the chance `recall`."""
+    chance = np.array([math.comb(bits, d) * rate**d * (1 - rate) ** (bits - d) for d in range(bits + 1)])
+    meets = np.array([math.comb(bits - d, key_bits) / math.comb(bits, key_bits) for d in range(bits + 1)])
+    tables = 1
+    while (chance * (1 - meets) ** tables).sum() > 1 - recall:
+        tables += 1
     rng, out, pool = np.random.default_rng(seed), [], []
     for _ in range(tables):
         if len(pool) < key_bits:
@@ -274,14 +300,22 @@ def _keys(masks: list[list[int]]):
 def _linked(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(len(batch)):
-                members = batch.column(0)[row].values.to_pylist() if batch.column(0)[row].is_valid else []
-                members = sorted(members)
-                fps = np.frombuffer(b"".join(members), np.uint8).reshape(len(members), -1)
-                root = singles_first(fps, radius)
-                moved = np.flatnonzero(root != np.arange(len(root)))
-                if len(moved):
-                    yield pa.RecordBatch.from_arrays([pa.array([members[i] for i in moved], pa.binary()), pa.array([members[root[i]] for i in moved], pa.binary())], names=["a", "b"])
+            column = batch.column(0)
+            sizes = np.diff(column.offsets.to_numpy())
+            flat = column.flatten().to_pylist()
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            fps = np.frombuffer(b"".join(flat), np.uint8).reshape(len(flat), -1)
+            root = np.arange(len(flat))
+            small = np.flatnonzero(sizes <= SMALL)
+            small = small[np.argsort(-sizes[small], kind="stable")]
+            for chosen in np.split(small, np.flatnonzero(np.diff(np.cumsum(sizes[small]) // LANES)) + 1) if len(small) else []:
+                at = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in chosen])
+                root[at] = at[side_by_side(fps[at], sizes[chosen], radius)]
+            for i in np.flatnonzero(sizes > SMALL):
+                root[starts[i] : starts[i + 1]] = starts[i] + singles_first(fps[starts[i] : starts[i + 1]], radius)
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array([flat[i] for i in moved], pa.binary()), pa.array([flat[root[i]] for i in moved], pa.binary())], names=["a", "b"])
 
     return run
 
@@ -289,15 +323,15 @@ def _linked(radius: int):
 def links(distinct: DataFrame, masks: list[list[int]], radius: int, cell: int = CELL) -> DataFrame:
     """Edges `(a, b)` that join all distinct fingerprints `fp` linked inside some bucket."""
     keyed = distinct.select("fp").mapInArrow(released(_keys(masks)), "t int, k long, fp binary")
-    sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keyed.join(sizes, ["t", "k"])
     # a bucket of more than a cell is parted, and the rows of a part go to its meetings with every part
-    parts = F.ceil(F.col("n") * 2 / cell).cast("int")
+    large = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
+    large = materialise(large.select("t", "k", F.ceil(F.col("n") * 2 / cell).cast("int").alias("parts")), "simhash-large")
+    met = keyed.join(large, ["t", "k"], "left") if not large.isEmpty() else keyed.withColumn("parts", F.lit(None).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    pairs = F.when(F.col("n") <= cell, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(meets)
-    cells = met.withColumn("parts", parts).withColumn("own", own).select("t", "k", "fp", F.explode(pairs).alias("c"))
-    grouped = cells.groupBy("t", "k", "c").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    pairs = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(meets)
+    cells = met.withColumn("own", own).select("t", "k", "fp", F.explode(pairs).alias("c"))
+    grouped = cells.groupBy("t", "k", "c").agg(F.sort_array(F.collect_list("fp")).alias("members")).where(F.size("members") > 1)
     return grouped.select("members").mapInArrow(released(_linked(radius)), "a binary, b binary").distinct()
 
 
@@ -384,14 +418,17 @@ def near_groups(
     radius: int = 2,
     seed: int = 42,
     similarity: float | None = None,
-    recall: float = 0.97,
+    recall: float = 0.98,
+    key_bits: int = 14,
     cell: int = CELL,
 ) -> DataFrame:
     """`(doc_id, mark, fp, root, component_id)`: each row's text mark and fingerprint, its group, and the smallest id in it.
 
     With `radius` alone the result is exact. With `similarity` (a Jaccard similarity of shingle sets) rows are linked by that similarity
     itself. Which are compared is found at a radius of the number of bits at which texts so similar differ, plus three standard
-    deviations, in buckets sampled for `recall` at that radius; take 256 bits or more then.
+    deviations, in buckets sampled for `recall` at that similarity (more so above it); take 256 bits or more then. `key_bits` and so the
+    samples don't depend on the table: a bucket has about one distinct fingerprint in 2^`key_bits`, so take more bits for more than 10^8
+    documents. The recall stays, the number of samples grows.
     """
     fps = materialise(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle, bits=bits, seed=seed, sets=similarity is not None), "simhash")
     firsts = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
@@ -399,10 +436,9 @@ def near_groups(
     if similarity is None:
         roots = components(links(firsts, block_masks(bits, radius), radius, cell))
     else:
-        rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        rate = bit_rate(similarity)
         radius = round(bits * rate + 3 * math.sqrt(bits * rate * (1 - rate)))
-        key_bits = max(6, math.ceil(math.log2(max(1, firsts.count()) / 1024)))
-        masks = sampled_masks(bits, radius / bits, key_bits, recall, seed)
+        masks = sampled_masks(bits, rate, key_bits, recall, seed)
         loose = materialise(components(links(firsts, masks, radius, cell)), "simhash-loose")
         roots = components(verified_links(docs, fps, loose, text=text, shingle=shingle, seed=seed, similarity=similarity, cell=min(cell, SET_CELL)))
         node, firsts = "node", materialise(fps.groupBy("node").agg(F.min("doc_id").alias("first_id")), "simhash-firsts")
@@ -418,9 +454,10 @@ def keep_one(docs: DataFrame, groups: DataFrame, *, doc_id: str = "doc_id", text
     """The row of each group with the smallest id (nulls last), then the smallest mark of its text; of equal rows one."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("k")
     kept = groups.groupBy("root").agg(first).select(F.col("k.doc_id").alias("kept_id"), F.col("k.mark").alias("kept_mark"))
-    marked = docs.withColumn("own_mark", text_mark(text))
-    rows = marked.join(kept, marked[doc_id].eqNullSafe(kept["kept_id"]) & (F.col("own_mark") == F.col("kept_mark")), "left_semi")
-    return rows.dropDuplicates([doc_id, "own_mark"]).drop("own_mark")
+    mark = spare("own_mark", docs.columns)
+    marked = docs.withColumn(mark, text_mark(text))
+    rows = marked.join(kept, marked[doc_id].eqNullSafe(kept["kept_id"]) & (marked[mark] == kept["kept_mark"]), "left_semi")
+    return rows.dropDuplicates([doc_id, mark]).drop(mark)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
