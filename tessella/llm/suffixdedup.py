@@ -18,8 +18,8 @@ Every byte that lies in a `length`-byte string which starts at two places or mor
 Texts are shuffled by document; nothing is collected, and each table the steps share is written to the shared folder.
 
 Defined results for odd input: a null text is empty; texts shorter than `length` keep all; equal rows count as several
-places, also when their ids are equal; ids may be null; an empty table gives no rows; other columns pass through
-`clean_documents`.
+places, also when their ids are equal; ids may be null, which is an id of its own; an empty table gives no rows; other columns pass
+through `clean_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, release, released, ship, texts
+from .common import bounded, materialise, release, released, ship, spare, texts
 from .suffixarray import permuted_lcp, suffix_array
 
 GRAM = 96
@@ -215,10 +215,6 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def _same(a: str, b: str) -> Column:
-    return F.coalesce(F.col(a), F.lit(-1)) == F.coalesce(F.col(b), F.lit(-1))
-
-
 def _parted(pieces: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One round of parting hot groups into cells: `(whole spans, pieces for shards, pieces of cells that are still hot)`.
 
@@ -233,7 +229,7 @@ def _parted(pieces: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFr
     picks = kinds.join(materialise(mixed, "cell-mixed"), key).select(*key, "m", "one.*")
     at = pieces.withColumnsRenamed({"doc": "doc2", "t": "t2", "pos": "pos2", "h": "h2"})
     cut_out = F.substring("piece", (F.col("s") - F.col("a") + 1).cast("int"), (F.col("e") - F.col("s")).cast("int"))
-    held = picks.join(at, _same("doc", "doc2") & (F.col("t") == F.col("t2")) & (F.col("pos") == F.col("pos2")) & (F.col("h") == F.col("h2")))
+    held = picks.join(at, F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("t") == F.col("t2")) & (F.col("pos") == F.col("pos2")) & (F.col("h") == F.col("h2")))
     held = held.select(F.xxhash64(*key).alias("h"), F.col("r0").alias("low"), F.col("r1").alias("high"), "m", "doc", "t", "pos", F.col("s").alias("a"), cut_out.alias("piece"))
     held = materialise(held, "cell-pieces")
     return whole, held.where(F.col("m") <= hot).drop("m"), held.where(F.col("m") > hot).drop("m")
@@ -349,7 +345,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str, text: str, length: int, gram
     mixed = materialise(mixed.select("h", group.alias("g")), "mixed")
     picks = kinds.join(mixed, "h").select("g", "h", "one.doc", "one.t", "one.pos")
     wanted = picks.groupBy("doc", "t").agg(F.collect_list(F.struct("g", "h", "pos")).alias("found"))
-    joined = rows.join(wanted.withColumnsRenamed({"doc": "doc2", "t": "t2"}), (F.coalesce("doc", F.lit(-1)) == F.coalesce("doc2", F.lit(-1))) & (F.col("t") == F.col("t2")))
+    joined = rows.join(wanted.withColumnsRenamed({"doc": "doc2", "t": "t2"}), F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("t") == F.col("t2")))
     pieces = materialise(joined.select("doc", "t", "body", "found").mapInArrow(released(_piece_rows(length, gram)), PIECE_SCHEMA), "pieces")
 
     dealt = pieces.where("g is not null").select("g", "doc", "t", "a", "piece")
@@ -371,9 +367,19 @@ def repeated_spans(docs: DataFrame, *, doc_id: str, text: str, length: int, gram
     return rows, spans.groupBy("doc", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
-def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left, and the maximal removed runs."""
+def whole_words(data: bytes, a: int, b: int) -> int:
+    """The words that lie in data[a:b] as a whole."""
+    inside = data[a:b]
+    n = len(inside.split())
+    n -= n > 0 and a > 0 and not data[a - 1 : a].isspace() and not inside[:1].isspace()
+    return n - (n > 0 and b < len(data) and not data[b : b + 1].isspace() and not inside[-1:].isspace())
+
+
+def cut(data: bytes, spans: list[tuple[int, int]], min_words: int = 0) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left, and the maximal removed runs; runs of fewer whole words than `min_words` stay."""
     runs = merged([(max(0, a), min(len(data), b)) for a, b in spans])
+    if min_words:
+        runs = [(a, b) for a, b in runs if whole_words(data, a, b) >= min_words]
     kept, at = [], 0
     for a, b in runs:
         kept.append(data[at:a])
@@ -381,12 +387,14 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[in
     return b"".join([*kept, data[at:]]), runs
 
 
-def _joined(rows: DataFrame, spans: DataFrame, doc: str, t: str) -> DataFrame:
-    named = spans.withColumnsRenamed({"doc": "sd_doc", "t": "sd_t", "spans": "sd_spans"})
-    return rows.join(named, (F.coalesce(F.col(doc), F.lit(-1)) == F.coalesce("sd_doc", F.lit(-1))) & (F.col(t) == F.col("sd_t")), "left").drop("sd_doc", "sd_t")
+def _joined(rows: DataFrame, spans: DataFrame, doc: str, t: str, name: str) -> DataFrame:
+    """`rows` with their spans in column `name`."""
+    named = spans.select(*[F.col(c).alias(spare(f"sd_{c}", rows.columns)) for c in ("doc", "t")], F.col("spans").alias(name))
+    doc2, t2, _ = named.columns
+    return rows.join(named, F.col(doc).eqNullSafe(F.col(doc2)) & (F.col(t) == F.col(t2)), "left").drop(doc2, t2)
 
 
-def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, **options) -> DataFrame:
+def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, min_words: int = 0, **options) -> DataFrame:
     """`doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans` for every row."""
     rows, spans = repeated_spans(docs, doc_id=doc_id, text=text, length=length, **options)
 
@@ -397,22 +405,21 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length
                 out = []
                 for i, data in zip(range(part.start, part.stop), texts(batch.column(1)[part])):
                     mine = found[i].as_py() or []
-                    kept, runs = cut(data, [(x["a"], x["b"]) for x in mine])
+                    kept, runs = cut(data, [(x["a"], x["b"]) for x in mine], min_words)
                     out.append((ids[i], len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": b} for a, b in runs]))
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    joined = _joined(rows, spans, "doc", "t").select("doc", "body", "sd_spans")
+    joined = _joined(rows, spans, "doc", "t", "spans").select("doc", "body", "spans")
     return joined.mapInArrow(released(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a: long, b: long>>")
 
 
-def clean_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, **options) -> DataFrame:
+def clean_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, min_words: int = 0, **options) -> DataFrame:
     """`docs` with the repeated bytes cut out of their texts; characters of which a part is cut lose the rest too.
 
-    Null and untouched texts stay as they are. Every row is kept.
+    With `min_words`, only runs of so many whole words or more are cut. Null and untouched texts stay as they are. Every row is kept.
     """
     _, spans = repeated_spans(docs, doc_id=doc_id, text=text, length=length, **options)
-    marked = docs.withColumn("sd_mark", _text_mark(F.col(text)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = docs.columns.index(text)
 
@@ -424,13 +431,14 @@ def clean_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                 out = columns[at].to_pylist()
                 for i, x in enumerate(found.to_pylist()):
                     if x and out[i] is not None:
-                        out[i] = cut(out[i].encode(), [(y["a"], y["b"]) for y in x])[0].decode("utf-8", "ignore")
+                        kept, runs = cut(out[i].encode(), [(y["a"], y["b"]) for y in x], min_words)
+                        out[i] = kept.decode("utf-8", "ignore") if runs else out[i]
                 columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    key = F.col(doc_id).cast("long")
-    joined = _joined(marked.withColumn("sd_id", key), spans, "sd_id", "sd_mark").drop("sd_id", "sd_mark")
-    return joined.select(*docs.columns, "sd_spans").mapInArrow(released(run), kinds)
+    own, mark, spans_at = (spare(c, docs.columns) for c in ("own_doc", "own_mark", "own_spans"))
+    marked = docs.withColumns({own: F.col(doc_id).cast("long"), mark: _text_mark(F.col(text))})
+    return _joined(marked, spans, own, mark, spans_at).select(*docs.columns, spans_at).mapInArrow(released(run), kinds)
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
