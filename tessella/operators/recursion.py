@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DeclarationError, QueryError
 from ..model import Catalog, Relation
-
-#: Levels between two cuts of the plan's lineage.
-CUT_EVERY = 8
-
+from ..sources.tables import checkpointed
 
 def self_relation(catalog: Catalog, table: str) -> Relation:
     """The one relation to one that refers to the table itself."""
@@ -30,6 +27,7 @@ def _walk(catalog: Catalog, table: str, roots: list, max_depth: int, down: bool)
     rows = catalog.live(table)  # deleted rows end a path, as start and as step
     columns = rows.columns
     level = rows.where(F.col(key).isin(list(roots))).select(*columns, F.lit(1).alias("depth"), F.array(key).alias("path"))
+    level = checkpointed(level)
     out = level
     steps = rows.select(*[F.col(c).alias(f"next__{c}") for c in columns])
     for depth in range(2, max_depth + 1):
@@ -38,10 +36,9 @@ def _walk(catalog: Catalog, table: str, roots: list, max_depth: int, down: bool)
         level = level.select(
             *[F.col(f"next__{c}").alias(c) for c in columns], F.lit(depth).alias("depth"), F.array_append("path", F.col(f"next__{key}")).alias("path")
         )
-        if depth % CUT_EVERY == 0 and catalog.spark.conf.get("spark.checkpoint.dir", None):
-            level = level.checkpoint()
-            if level.isEmpty():
-                break
+        level = checkpointed(level)  # each level is computed once, from the one before
+        if level.isEmpty():
+            break
         out = out.unionAll(level)
     return out
 

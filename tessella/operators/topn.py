@@ -59,8 +59,10 @@ def turns(q: Query, group: str, groups: Query, start=None, n_groups: int = 100,
     rows = q.matching()
     rows = rows.join(chosen, rows[group].eqNullSafe(chosen["turn__group"]), "left_semi")
     rows = _numbered(q, rows, [group])
-    if per_group is not None:
-        rows = rows.where(F.col(_ROW) <= per_group)
+    # turn t of a group has at least t - 1 rows before it, so later turns than the limit's last row can't be in the result
+    last = [n for n in (per_group, None if q.limit_ is None else q.limit_ + (q.offset_ or 0)) if n is not None]
+    if last:
+        rows = rows.where(F.col(_ROW) <= min(last))
     rows = rows.select(*[c.name for c in q.table.columns], F.col(_ROW).cast("long").alias("turn"))
     rows = rows.orderBy("turn", *q.sort_columns())
     if q.offset_:

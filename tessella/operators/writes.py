@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import predicates as P
 from ..errors import Conflict, ConstraintViolation, DeclarationError, NothingAssigned, PagedWrite, StaleWrite, UnfilteredWrite
 from ..model import Catalog, Column, Sql, Table
+from ..sources.tables import checkpointed
 from .query import Query
 
 
@@ -68,12 +69,17 @@ def _generated(table: Table, df: DataFrame) -> DataFrame:
     return df.select(*[c.name for c in table.columns])
 
 
-def _next_identity(table: Table, state: DataFrame, rows: DataFrame, given: set[str]) -> DataFrame:
+def _next_identity(table: Table, state: DataFrame, rows: DataFrame, given: set[str], skip: int = 0) -> DataFrame:
+    """Numbers identity columns after the largest, `skip` further. Rows are numbered in their partitions, and the partitions' counts added up."""
     for c in table.columns:
         if c.identity and c.name not in given:
-            # numbers after the largest; the rows of one insert are few enough to number in one window
-            last = state.agg(F.coalesce(F.max(c.name), F.lit(0)).alias("last")).first()["last"]
-            rows = rows.withColumn(c.name, (F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + F.lit(last)).cast(c.type.spark))
+            last = state.agg(F.coalesce(F.max(c.name), F.lit(0)).alias("last")).first()["last"] + skip
+            held = checkpointed(rows.drop(c.name).withColumns({"part__": F.spark_partition_id(), "row__": F.monotonically_increasing_id()}))
+            counts = held.groupBy("part__").agg(F.count(F.lit(1)).alias("n__"), F.min("row__").alias("least__"))  # a row a partition
+            ahead = F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            rows = held.join(counts.withColumn("ahead__", ahead), "part__")
+            number = F.col("row__") - F.col("least__") + F.col("ahead__") + F.lit(last + 1)
+            rows = rows.withColumn(c.name, number.cast(c.type.spark)).drop("part__", "row__", "n__", "least__", "ahead__")
     return rows
 
 
@@ -81,7 +87,7 @@ def insert(catalog: Catalog, name: str, *rows: dict[str, Any]) -> Written:
     """Rows of assigned columns; the others take their defaults. A zero or empty value that is assigned is written."""
     table, state = catalog.table(name), catalog.base(name)
     parts = []
-    for row in rows:
+    for number, row in enumerate(rows):
         if not row:
             raise NothingAssigned(f"an insert into {name} assigns nothing")
         for k in row:
@@ -97,7 +103,7 @@ def insert(catalog: Catalog, name: str, *rows: dict[str, Any]) -> Written:
                 made = made.withColumn(c.name, F.lit(None).cast(c.type.spark))
             else:
                 raise ConstraintViolation("not_null", f"{name}.{c.name}", 1)
-        made = _next_identity(table, state, made, set(row))
+        made = _next_identity(table, state, made, set(row), number)
         parts.append(_generated(table, made.drop("id") if "id" not in table.by_name else made))
     added = reduce(lambda a, b: a.unionByName(b), parts)
     return Written(state.unionByName(added), added)
@@ -115,7 +121,7 @@ def insert_all(catalog: Catalog, name: str, rows: DataFrame) -> Written:
             out.append(F.col(c.name).cast(c.type.spark).alias(c.name))
         else:
             out.append((_value(c, c.default) if c.default is not None else F.lit(None).cast(c.type.spark)).alias(c.name))
-    added = _generated(table, rows.select(*out))
+    added = _generated(table, _next_identity(table, state, rows.select(*out), set(rows.columns)))
     return Written(state.unionByName(added), added)
 
 
@@ -367,17 +373,26 @@ def check(catalog: Catalog, name: str, state: DataFrame | None = None) -> None:
         broken("exclusion", x.name or f"{name} excludes", overlapping(state.where(x.where) if x.where else state, x.equal, x.lower, x.upper))
 
 
-def overlapping(rows: DataFrame, equal: tuple[str, ...], lower: str, upper: str) -> DataFrame:
-    """Rows whose range `[lower, upper)` overlaps that of a row before it, by start, with the same keys.
+def overlapping(rows: DataFrame, equal: tuple[str, ...], lower: str, upper: str, *, block_days: int = 30) -> DataFrame:
+    """Rows whose range `[lower, upper)` overlaps that of a row before it, by start, end and the other columns, with the same keys.
 
-    The running largest end of the rows before tells it: no pairs are made.
+    The running largest end of the rows before tells it: no pairs are made. Rows are cut into blocks of time by their start; each block
+    starts from the largest end of the blocks before, so neither one key nor a table without keys is one task's work.
     """
-    w = Window.partitionBy(*equal).orderBy(F.col(lower).asc_nulls_first(), F.col(upper).asc_nulls_last())
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    far = F.to_timestamp_ntz(F.lit("9999-12-31 00:00:00"))
+    first, far = (F.to_timestamp_ntz(F.lit(x)) for x in ("0001-01-01 00:00:00", "9999-12-31 00:00:00"))
+    start = F.coalesce(F.col(lower).cast("timestamp_ntz"), first)
     kept = rows.where(F.coalesce(F.col(lower) < F.col(upper), F.lit(True)))
-    ends = kept.withColumn("end__", F.max(F.coalesce(F.col(upper).cast("timestamp_ntz"), far)).over(before))
-    return ends.where(F.coalesce(F.col(lower).cast("timestamp_ntz"), F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00"))) < F.col("end__")).drop("end__")
+    kept = kept.withColumns({"end__": F.coalesce(F.col(upper).cast("timestamp_ntz"), far), "block__": F.floor(F.date_diff(start, F.lit("1970-01-01").cast("date")) / block_days)})
+    blocks = kept.groupBy(*equal, "block__").agg(F.max("end__").alias("most__"))
+    before = Window.partitionBy(*equal).orderBy("block__").rowsBetween(Window.unboundedPreceding, -1)  # over a row a block
+    names = [f"of__{i}" for i in range(len(equal) + 1)]
+    carried = blocks.select(*[F.col(c).alias(n) for c, n in zip((*equal, "block__"), names)], F.max("most__").over(before).alias("carried__"))
+    on = [kept[c].eqNullSafe(carried[n]) for c, n in zip((*equal, "block__"), names)]
+    others = [c for c, kind in rows.dtypes if c not in (*equal, lower, upper) and not kind.startswith(("map", "variant"))]
+    inside = Window.partitionBy(*equal, "block__").orderBy(F.col(lower).asc_nulls_first(), F.col(upper).asc_nulls_last(), *others)
+    ended = F.greatest(F.max("end__").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("carried__"))
+    found = kept.join(carried, on).drop(*names).withColumn("ended__", ended)
+    return found.where(start < F.col("ended__")).select(*rows.columns)
 
 
 def cascade(catalog: Catalog, name: str, removed: DataFrame) -> dict[str, DataFrame]:

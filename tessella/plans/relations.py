@@ -29,14 +29,14 @@ class _Edge:
 class Plan:
     """A parent query and the relations to load with it; `into` nests.
 
-    `child_limit` bounds the related rows of all parents together: more is an error, never a shorter answer. `top` takes so
-    many per parent and needs an order.
+    `child_limit` bounds the related rows of all parents together: more is an error, never a shorter answer. A collected plan has one
+    always; a DataFrame, whose rows stay distributed, only where `limited` sets it. `top` takes so many per parent and needs an order.
     """
 
     query: Query
     edges: list[_Edge] = field(default_factory=list)
     arcs: list[tuple[Arc, dict[str, tuple[str, ...]]]] = field(default_factory=list)
-    child_limit: int = CHILD_LIMIT
+    child_limit: int | None = None
 
     def load(self, relation: str, *preds: P.Pred, order: tuple[Term, ...] = (), top: int | None = None, payload: bool = False, into=None) -> Plan:
         r = self.query.table.relation(relation)
@@ -99,7 +99,7 @@ class Plan:
             at = lambda name: F.col("item__")[name]
         children = children.dropna(subset=keys)
         target = catalog.table(r.target)
-        order = e.order or tuple(Term(c) for c in target.primary_key)
+        order = e.order or tuple(Term(c) for c in target.primary_key or [c.name for c in target.columns if not c.type.array and c.type.spark != "variant"])
         sort = [t.column(catalog.order_value(r.target, t.name, at(t.name))) for t in order]
         # numbered rows sort inside their array; a bare collected list has no order
         ranked = children.withColumn("rn__", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)) if sort else F.lit(1))
@@ -122,20 +122,29 @@ class Plan:
             kind = F.when(F.col(column).isNotNull(), F.lit(name)).otherwise(kind)
         return parents.withColumn(f"{arc.name}_kind", kind)
 
-    def df(self) -> DataFrame:
-        """Parents with one column per relation: a struct (or null) to one, an array of structs to many."""
+    def _built(self) -> DataFrame:
         out = self._rows(self.query.df())
         order = self.query.sort_columns()
         return out.orderBy(*order) if order else out
 
-    def all(self) -> list:
-        """Collects, after checking each relation to many against the limit."""
-        df = self.df()
+    def _checked(self, df: DataFrame, limit: int) -> None:
         sizes = [F.sum(F.size(e.relation)).alias(e.relation) for e in self.edges if self.query.table.relation(e.relation).kind == "many"]
         if sizes:
             for name, n in df.agg(*sizes).first().asDict().items():
-                if (n or 0) > self.child_limit:
-                    raise ChildLimitError(f"{name} has {n} rows; the limit is {self.child_limit}")
+                if (n or 0) > limit:
+                    raise ChildLimitError(f"{name} has {n} rows; the limit is {limit}")
+
+    def df(self) -> DataFrame:
+        """Parents with one column per relation: a struct (or null) to one, an array of structs to many."""
+        df = self._built()
+        if self.child_limit is not None:
+            self._checked(df, self.child_limit)
+        return df
+
+    def all(self) -> list:
+        """Collects, after checking each relation to many against the limit."""
+        df = self._built()
+        self._checked(df, CHILD_LIMIT if self.child_limit is None else self.child_limit)
         return df.collect()
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import Refused
+from ..errors import QueryError, Refused
 from ..model import Table, introspect
 
 
@@ -15,13 +17,36 @@ def parquet(spark: SparkSession, path: str, table: Table | None = None) -> DataF
     return df.select(*[c.name for c in table.columns if not c.source]) if table else df
 
 
-def jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str | None = None, bounds: tuple | None = None, partitions: int = 8, **options) -> DataFrame:
-    """A table of another database, read in parallel ranges of a column. The database's driver jar has to be on the class path."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+def jdbc_options(url: str, table: str, *, partition_column: str | None = None, bounds: tuple | None = None, partitions: int = 8, **options) -> dict[str, str]:
+    """What Spark's JDBC reader is told; `bounds` only deal rows to the ranges, no row is left out."""
+    out = {"url": url, "dbtable": table} | {k: str(v) for k, v in options.items()}
+    if (partition_column is None) != (bounds is None):
+        raise QueryError("a partition column and its bounds go together")
     if partition_column:
         low, high = bounds
-        reader = reader.option("partitionColumn", partition_column).option("lowerBound", low).option("upperBound", high).option("numPartitions", partitions)
-    return reader.load()
+        if partitions < 1 or low > high:
+            raise QueryError("a parallel read takes a partition or more, and bounds in order")
+        out |= {"partitionColumn": partition_column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}
+    return out
+
+
+def jdbc(spark: SparkSession, url: str, table: str, **how) -> DataFrame:
+    """A table of another database, read in parallel ranges of a column. The database's driver jar has to be on the class path."""
+    return spark.read.format("jdbc").options(**jdbc_options(url, table, **how)).load()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the folder of `spark.checkpoint.dir`, which all executors see; a local session without one gets its own."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise QueryError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        sc.setCheckpointDir(path)
+    return df.checkpoint()
 
 
 def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

@@ -48,7 +48,7 @@ def test_counts_and_existence_do_not_sort(c):
 
 
 def test_no_query_crosses_or_runs_python(spark):
-    python = {"shard_jump", "json_contained_by"}
+    python = {"shard_jump", "shard_hash_modulo", "json_contained_by"}
     for name, fn in reports.QUERIES.items():
         text = plan(fn(spark, SF))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
