@@ -29,6 +29,8 @@ FILTER_BITS = 2048
 FILTER_FEATURES = 160
 _UNIT = 1 << 16
 _BUFFER = 1 << 18
+#: Bytes of text of a block and of a task.
+BLOCK_BYTES, TASK_BYTES = 2 << 20, 32 << 20
 
 
 class Scale:
@@ -260,13 +262,16 @@ def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
 
     The next document is the one of the next smaller id, after the smallest the largest. Documents are dealt by blocks of
     neighbouring ids, cut at quantiles of the id column; the first row of each block also goes to the end of the block
-    before it, so the texts travel once and no task needs more than one block's rows, which it streams. The driver
-    holds two numbers a block, `blocks` at most (20,000 at most by default).
+    before it, so the texts travel once and no task needs more than one block's rows, which it streams. Blocks are as many as the texts'
+    bytes ask for, `BLOCK_BYTES` each, and a task has about `TASK_BYTES` of them. The driver holds two numbers a block, 20,000 blocks at most
+    by default.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    blocks = blocks or min(16 * parallelism(spark), 20_000)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(parallelism(spark), -(-size // TASK_BYTES))
+    blocks = blocks or min(max(16 * tasks, -(-size // BLOCK_BYTES)), 20_000)
     cuts = [i / blocks for i in range(1, blocks)]
     found = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, cuts)), F.lit(10 * blocks)).alias("q")).first()["q"] if cuts else []
     bounds = np.unique(np.array(found or [], np.int64))
@@ -278,7 +283,7 @@ def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     for b, after in zip(order, [*order[1:], *order[:1]]):
         heads[firsts[after]] = b
     routed = rows.mapInArrow(released(_router(bounds, heads)), "block long, tail int, doc_id long, text string")
-    dealt = routed.repartition(parallelism(spark), "block").sortWithinPartitions(
+    dealt = routed.repartition(tasks, "block").sortWithinPartitions(
         "block", "tail", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text"
     )
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
