@@ -49,6 +49,11 @@ def now() -> Sql:
     return Sql("current_timestamp()")
 
 
+def new_uuid() -> Sql:
+    """A random UUID for each row, as a default."""
+    return Sql("uuid()")
+
+
 def plus(column: str, n: Any) -> SparkColumn:
     """Adds to a column's own value."""
     return F.col(column) + F.lit(n)
@@ -306,6 +311,9 @@ def upsert(
             changed = was
         out.append(F.when(fresh, is_).when(both, changed).otherwise(was).cast(c.type.spark).alias(c.name))
     result = joined.select(*out, (fresh | both).alias("hit__"))
+    for c in table.columns:
+        if c.generated:
+            result = result.withColumn(c.name, F.when(F.col("hit__"), F.expr(c.generated).cast(c.type.spark)).otherwise(F.col(c.name)))
     columns = [c.name for c in table.columns]
     return Written(result.select(*columns), result.where("hit__").select(*columns))
 

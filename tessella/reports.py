@@ -20,7 +20,7 @@ from .operators.windows import CURRENT, UNBOUNDED_FOLLOWING, UNBOUNDED_PRECEDING
 from .plans.raw import Registry
 from .plans.relations import plan
 from .predicates import And, Any, Not
-from .sources import shards, tables
+from .sources import schema_diff, shards, tables
 from .streaming.rows import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,7 +53,11 @@ def _tables() -> list[Table]:
             "nation",
             (Column("n_nationkey", "int4"), Column("n_name", "text"), Column("n_regionkey", "int4")),
             ("n_nationkey",),
-            (Relation("region", "one", "region", ("n_regionkey",), ("r_regionkey",)), Relation("customers", "many", "customer", ("n_nationkey",), ("c_nationkey",))),
+            (
+                Relation("region", "one", "region", ("n_regionkey",), ("r_regionkey",)),
+                Relation("customers", "many", "customer", ("n_nationkey",), ("c_nationkey",)),
+                Relation("neighbours", "many", "nation", ("n_nationkey",), ("n_nationkey",), "borders", (("from_key",), ("to_key",))),
+            ),
             (ForeignKey(("n_regionkey",), "region", ("r_regionkey",)),),
         ),
         Table(
@@ -116,6 +120,19 @@ def _tables() -> list[Table]:
             (),
             (Relation("order", "one", "orders", ("l_orderkey",), ("o_orderkey",)), Relation("part", "one", "part", ("l_partkey",), ("p_partkey",)), Relation("supplier", "one", "supplier", ("l_suppkey",), ("s_suppkey",))),
         ),
+        Table("borders", (Column("from_key", "int4"), Column("to_key", "int4")), ("from_key", "to_key")),
+        Table(
+            "shelf",
+            (
+                Column("id", "int8", identity=True),
+                Column("sku", "text"),
+                Column("on_hand", "int4", default=0, inc_when="on_hand < 25"),
+                Column("version", "int4", default=1, version=True),
+                Column("twice", "int4", generated="on_hand * 2"),
+                Column("label", "uuid", default=writes.new_uuid()),
+            ),
+            ("id",),
+        ),
         Table("supply", (Column("l_partkey", "int8"), Column("l_suppkey", "int8"), Column("quantity", "float8")), ("l_partkey", "l_suppkey")),
         Table(
             "events",
@@ -136,9 +153,17 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     sources: dict = {n: at(n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")}
     sources["live_orders"] = at("orders")
     sources["supply"] = lambda s: s.read.parquet(at("lineitem")).groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("quantity"))
+    sources["shelf"] = lambda s: s.read.parquet(at("part")).selectExpr("p_partkey AS id", "p_name AS sku", "p_size AS on_hand", "1 AS version", "p_size * 2 AS twice", "'00000000-0000-0000-0000-000000000000' AS label")
+    sources["borders"] = lambda s: _borders(s.read.parquet(at("nation")))
     return Catalog(spark, _tables(), sources)
 
 
+def _borders(nation: DataFrame) -> DataFrame:
+    """From each nation to those of its region with larger keys."""
+    a = nation.select("n_regionkey", F.col("n_nationkey").alias("from_key"))
+    return a.join(nation.select("n_regionkey", F.col("n_nationkey").alias("to_key")), "n_regionkey").where("from_key < to_key").select("from_key", "to_key")
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Decimals and doubles as doubles of four places, which two engines can agree on."""
     return df.select(*[F.round(F.col(f"`{c}`").cast("double"), 4).alias(c) if k.startswith(("decimal", "double", "float")) else F.col(f"`{c}`") for c, k in df.dtypes])
@@ -494,6 +519,36 @@ def win_pct_cume(c):
     return a.build().df()
 
 
+@report(f"SELECT c_age, count(*) AS n, row_number() OVER (ORDER BY c_age ASC NULLS FIRST) AS low_first, row_number() OVER (ORDER BY c_age DESC NULLS LAST) AS high_first FROM (SELECT *, {AGE} AS c_age FROM customer) GROUP BY 1")
+def win_null_places(c):
+    a = Aggregation(c, "customer").by("c_age")
+    a.count("N")
+    a.window("LowFirst", "row_number", over().asc_nulls_first("c_age"))
+    a.window("HighFirst", "row_number", over().desc_nulls_last("c_age"))
+    return a.build().df()
+
+
+@report("SELECT o_orderpriority, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY 1")
+def agg_own_function(c):
+    tables.aggregate_function(c.spark, "tessella_spread", "double", lambda v: float(v.max() - v.min()))
+    return c.live("orders").groupBy("o_orderpriority").agg(F.expr("tessella_spread(o_totalprice)").alias("spread"))
+
+
+class _Parts:
+    """The parts of a priority such as 1-URGENT."""
+
+    def eval(self, text: str):
+        for i, part in enumerate(text.split("-", 1)):
+            yield i, part
+
+
+@report("SELECT o_orderkey, unnest(range(0, 2))::INT AS place, unnest(string_split(o_orderpriority, '-')[1:2]) AS part FROM orders WHERE o_orderpriority LIKE '%-%' AND o_orderpriority NOT LIKE '%-%-%'")
+def table_own_function(c):
+    tables.table_function(c.spark, "tessella_parts", "place int, part string", _Parts)
+    tables.view(c.live("orders").select("o_orderkey", "o_orderpriority"), "tessella_prioritised")
+    return c.spark.sql("SELECT o_orderkey, place, part FROM tessella_prioritised, LATERAL tessella_parts(o_orderpriority) WHERE o_orderpriority LIKE '%-%' AND o_orderpriority NOT LIKE '%-%-%'")
+
+
 # joins
 @report("SELECT o_orderkey, c_name AS customer, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 300000 AND c_acctbal > 0")
 def join_inner_fk(c):
@@ -699,6 +754,12 @@ def plan_arc(c):
     return out.select("o_orderkey", F.col("subject_kind").alias("kind"), F.coalesce("subject_open.c_name", "subject_done.c_name").alias("customer"))
 
 
+@report("SELECT a.n_name AS nation, b.n_name AS neighbour FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def plan_self_directed(c):
+    out = plan(Query(c, "nation").limit(None)).load("neighbours").df()
+    return out.select(F.col("n_name").alias("nation"), F.explode("neighbours.n_name").alias("neighbour"))
+
+
 # recursion
 _TREE = """WITH RECURSIVE w AS (SELECT p_partkey, p_partkey // 2 AS p_parent, 1 AS depth, [p_partkey] AS path FROM part WHERE p_partkey IN {roots}
 UNION ALL SELECT t.p_partkey, t.p_partkey // 2, w.depth + 1, list_append(w.path, t.p_partkey) FROM w JOIN part t ON {on} WHERE NOT list_contains(w.path, t.p_partkey) AND w.depth < {depth})
@@ -908,7 +969,67 @@ def wr_overlaps(c):
     return writes.overlapping(rows, ("o_custkey",), "o_orderdate", "until").select("o_custkey", "o_orderdate", "o_orderkey")
 
 
+_SHELF = "SELECT p_partkey AS id, {n} AS on_hand, {v} AS version, 2 * ({n}) AS twice FROM part"
+
+
+@report(_SHELF.format(n="p_size + (p_partkey = 7)::INT", v="1 + (p_partkey = 7)::INT"))
+def wr_version(c):
+    return writes.update(c, "shelf", {"id": 7}, version=1, on_hand=writes.plus("on_hand", 1)).state.select("id", "on_hand", "version", "twice")
+
+
+@report(_SHELF.format(n="p_size + (p_size < 25 AND p_brand = 'Brand#11')::INT", v="1 + (p_brand = 'Brand#11')::INT").replace("FROM part", "FROM part"))
+def wr_guarded_increment(c):
+    t = c.table("shelf")
+    branded = c.live("part").where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("id"))
+    keyed = c.base("shelf").join(branded.withColumn("hit", F.lit(True)), "id", "left")
+    marked = Catalog(c.spark, [*c.tables.values()], c.sources | {"shelf": keyed.withColumn("sku", F.when(F.col("hit"), "hit").otherwise("")).drop("hit")})
+    q = Query(marked, "shelf")
+    return writes.update_all(q.where(q["sku"].eq("hit")), on_hand=writes.plus_when(t, "on_hand")).state.select("id", "on_hand", "version", "twice")
+
+
+@report(_SHELF.format(n="greatest(p_size, 25)", v="1 + (p_size < 25)::INT"))
+def wr_guarded_upsert(c):
+    rows = c.base("shelf").select("id", "sku", F.lit(25).alias("on_hand"))
+    return writes.upsert(c, "shelf", rows, ("id",), when=lambda old, new: old("on_hand") < new("on_hand")).state.select("id", "on_hand", "version", "twice")
+
+
+@report("SELECT p_partkey AS id, true AS labelled FROM part UNION ALL SELECT (SELECT max(p_partkey) FROM part) + row_number() OVER (), true FROM nation")
+def wr_identity(c):
+    rows = c.base("nation").select(F.col("n_name").alias("sku"))
+    return writes.insert_all(c, "shelf", rows).state.select("id", F.col("label").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$").alias("labelled"))
+
+
 # raw SQL, views, functions, shards, windows of events
+@report("""WITH RECURSIVE w AS (SELECT p_partkey, 1 AS depth FROM part WHERE p_partkey = 3
+UNION ALL SELECT t.p_partkey, depth + 1 FROM w JOIN part t ON t.p_partkey // 2 = w.p_partkey WHERE depth < 5) SELECT p_partkey, depth FROM w""")
+def raw_recursive(c):
+    tables.view(c.live("part").select("p_partkey", "p_parent"), "tessella_parts_tree")
+    r = Registry(c.spark)
+    text = """WITH RECURSIVE w(p_partkey, depth) AS (SELECT p_partkey, 1 FROM tessella_parts_tree WHERE p_partkey = :root
+    UNION ALL SELECT t.p_partkey, depth + 1 FROM w JOIN tessella_parts_tree t ON t.p_parent = w.p_partkey WHERE depth < 5) SELECT p_partkey, depth FROM w"""
+    r.declare("tree", text, "p_partkey bigint, depth int", ("root",))
+    return r.query("tree", root=3)
+
+
+@report("SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'int8' WHEN 'INTEGER' THEN 'int4' WHEN 'DOUBLE' THEN 'float8' WHEN 'VARCHAR' THEN 'text' ELSE 'timestamp' END AS kind FROM (DESCRIBE orders)")
+def introspection(c):
+    t = tables.describe(c.spark, c.sources["orders"], "orders")
+    return c.spark.createDataFrame([(x.name, str(x.type)) for x in t.columns], "name string, kind string")
+
+
+@report("SELECT 'orders' AS name, count(*) AS n_rows, 1::BIGINT AS n_files FROM orders UNION ALL SELECT 'nation', count(*), 1 FROM nation")
+def table_sizes(c):
+    return tables.sizes(c.spark, {n: c.sources[n] for n in ("orders", "nation")})
+
+
+@report("SELECT 'orders' AS \"table\", 'drop' AS kind, 'o_orderpriority' AS \"column\" UNION ALL SELECT 'orders', 'add', 'o_note' UNION ALL SELECT 'orders', 'retype', 'o_custkey'")
+def schema_drift(c):
+    declared = [x for x in c.table("orders").columns if not x.source and x.name not in ("o_orderpriority", "o_custkey")]
+    wanted = Table("orders", (*declared, Column("o_custkey", "int4"), Column("o_note", "text", True)), ("o_orderkey",))
+    found = schema_diff.diff(wanted, c.stored("orders"))
+    return c.spark.createDataFrame([(x.table, x.kind, x.column) for x in found], "table string, kind string, column string")
+
+
 @report("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 420000 AND o_orderstatus = 'O'")
 def raw_pinned(c):
     tables.view(c.live("orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), "raw_orders")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,21 @@ def sql_function(spark: SparkSession, name: str, params: str, returns: str, body
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {returns} RETURN {body}")
 
 
+def aggregate_function(spark: SparkSession, name: str, returns: str, fold: Callable) -> None:
+    """An aggregate of one's own: `fold` gets a group's values as a pandas series. A group has to fit a task; built-in aggregates have no such bound."""
+
+    def folded(values):
+        return fold(values)
+
+    folded.__annotations__ = {"values": pd.Series, "return": float}  # a series to one value: an aggregate
+    spark.udf.register(name, F.pandas_udf(folded, returns))
+
+
+def table_function(spark: SparkSession, name: str, returns: str, make: type) -> None:
+    """A table function of one's own: `make().eval(*arguments)` yields tuples of the columns in `returns`. Use it with LATERAL for rows of a table."""
+    spark.udtf.register(name, F.udtf(make, returnType=returns))
+
+
 def describe(spark: SparkSession, path: str, name: str) -> Table:
     return introspect(name, spark.read.parquet(path))
 

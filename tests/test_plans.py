@@ -47,8 +47,34 @@ def test_counts_and_existence_do_not_sort(c):
     assert "Sort" not in plan(q.count_df()) and "Sort" not in plan(q.exists_df())
 
 
+def test_budgets_name_what_is_over(c):
+    from tessella.errors import DeclarationError
+    from tessella.plans import lint
+
+    df = reports.by_status(c).build().df(limit=5)
+    got = lint.cost(df)
+    assert (got.joins, got.exchanges, got.python, got.scans) == (0, 1, 0, 1)
+    assert lint.hold("ok", df, lint.Budget(joins=0, exchanges=1)) is df
+    with pytest.raises(DeclarationError, match="1 exchanges, the budget is 0"):
+        lint.hold("dear", df, lint.Budget(exchanges=0))
+    assert lint.over(reports.shard_jump(c), lint.Budget()) == ["1 python, the budget is 0"]
+    joined = lint.cost(reports.join_multikey(c))
+    assert joined.joins == 1 and joined.crosses == 0
+
+
+def test_turns_keep_no_more_of_a_group_than_the_limit(c):
+    q = Query(c, "orders").order(desc("o_totalprice"), desc("o_orderkey")).limit(7)
+    assert "WindowGroupLimit" in plan(topn.turns(q, "o_custkey", Query(c, "orders")))
+
+
+def test_descents_end_with_the_tree(c):
+    from tessella.operators import recursion
+
+    assert recursion.descend(c, "part", [1], 100_000).agg({"depth": "max"}).first()[0] < 20
+
+
 def test_no_query_crosses_or_runs_python(spark):
-    python = {"shard_jump", "shard_hash_modulo", "json_contained_by"}
+    python = {"shard_jump", "shard_hash_modulo", "json_contained_by", "agg_own_function", "table_own_function", "introspection", "schema_drift"}
     for name, fn in reports.QUERIES.items():
         text = plan(fn(spark, SF))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name

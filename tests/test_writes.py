@@ -211,8 +211,54 @@ def test_introspection_bulk_loads_and_sizes(spark, tmp_path):
     assert tables.parquet(spark, path, t).columns == ["id", "money", "tags"]
 
 
+def test_jdbc_options():
+    from tessella.sources.tables import jdbc_options
+
+    got = jdbc_options("jdbc:postgresql://h/d", "t", partition_column="id", bounds=(0, 1000), partitions=4, fetchsize=500)
+    assert got == {"url": "jdbc:postgresql://h/d", "dbtable": "t", "fetchsize": "500", "partitionColumn": "id", "lowerBound": "0", "upperBound": "1000", "numPartitions": "4"}
+    for wrong in ({"partition_column": "id"}, {"bounds": (0, 1)}, {"partition_column": "id", "bounds": (5, 1)}):
+        with pytest.raises(QueryError):
+            jdbc_options("u", "t", **wrong)
+
+
+def test_schema_diff_of_stored_tables(spark):
+    from tessella.sources import schema_diff
+
+    t = Table("t", (Column("a", "int8"), Column("b", "text"), Column("d", "int4", source="1")), ("a",))
+    got = schema_diff.diff(t, spark.createDataFrame([], "a int, c string"))
+    assert [x.statement for x in got] == ["ALTER TABLE t ALTER COLUMN a TYPE bigint", "ALTER TABLE t ADD COLUMN b string", "ALTER TABLE t DROP COLUMN c"]
+    assert schema_diff.diff(t, spark.createDataFrame([], "a long, b string")) == []
+
+
+@pytest.mark.parametrize("block", [1, 30, 100_000])
+def test_overlaps_over_any_blocks_of_time(spark, block):
+    day = dt.datetime(2020, 1, 1)
+    spans = [(k, day + dt.timedelta(days=a), None if b is None else day + dt.timedelta(days=b), i) for i, (k, a, b) in enumerate([("x", 0, 90), ("x", 40, 41), ("x", 95, 96), ("y", 1, 2), ("y", 2, 3), ("z", 5, None), ("z", 400, 401), (None, 3, 9), (None, 8, 9), ("x", 50, 50)])]
+    spans.append(("x", None, day, 10))
+    df = spark.createDataFrame(spans, "k string, a timestamp_ntz, b timestamp_ntz, i int")
+    assert sorted(r.i for r in W.overlapping(df, ("k",), "a", "b", block_days=block).collect()) == [1, 6, 8]
+    assert sorted(r.i for r in W.overlapping(df.where("k in ('y', 'z')"), (), "a", "b", block_days=block).collect()) == [6]
+
+
+def test_identity_numbers_follow_the_largest(c, spark):
+    w = W.insert_all(c, "stock", spark.range(0, 40, 1, 5).selectExpr("concat('s', id) AS sku"))
+    assert sorted(r.id for r in w.affected.collect()) == list(range(4, 44))
+    two = W.insert(c, "stock", {"sku": "d"}, {"sku": "e"})
+    assert sorted(r.id for r in two.affected.collect()) == [4, 5]
+
+
+def test_child_limits_hold_for_frames_too(c):
+    from tessella.errors import ChildLimitError
+    from tessella.plans.relations import plan
+
+    q = Query(Catalog(c.spark, [Table(STOCK.name, STOCK.columns, STOCK.primary_key, (Relation("moves", "many", "move", ("id",), ("stock_id",)),)), MOVE], c.sources), "stock")
+    assert plan(q).load("moves").limited(3).df().count() == 3
+    with pytest.raises(ChildLimitError):
+        plan(q).load("moves").limited(2).df()
+
+
 def test_shards_by_table_and_name(spark):
-    from tessella.sources.shards import ShardSet, TableLocator
+    from tessella.sources.shards import Jump, Lookup, ShardSet, TableLocator
 
     where = TableLocator([(0, "low"), (100, "high")])
     assert (where.locate(99), where.locate(100)) == ("low", "high")
@@ -222,3 +268,11 @@ def test_shards_by_table_and_name(spark):
     assert shards.for_key(spark, "t", 500).first().n == "high" and shards.each(spark, "t").count() == 6
     with pytest.raises(QueryError):
         shards.for_id(spark, "t", "none")
+    with pytest.raises(QueryError, match="over 3 shards"):
+        ShardSet(shards.shards, Jump(3))
+    placed = ShardSet(shards.shards, Lookup(2, {"a": 1}))
+    assert placed.for_key(spark, "t", "a").first().n == "high"
+    with pytest.raises(QueryError):
+        placed.for_key(spark, "t", "b")
+    with pytest.raises(QueryError):
+        Jump(2).locate(None)
