@@ -24,6 +24,10 @@ HEX_DIGITS = 13
 BROADCAST_SOURCES = 50_000
 
 
+#: The columns that the operator adds or works with; it replaces an input's.
+OWN = ("mix_rate", "mix_copies", "mix_copy", "mix_key", "mix_source", "mix_id")
+
+
 def uniform(*parts: Column) -> Column:
     """A number in (0, 1) from an MD5 of the parts."""
     digest = F.md5(F.concat_ws("|", *parts).cast("binary"))
@@ -84,8 +88,7 @@ def mix(
     that Spark splits when they are many. The copies travel once, dealt by `mix_key`; inside a task they are sorted by it, so the
     output is a random permutation of the mix.
     """
-    own = ["mix_rate", "mix_copies", "mix_copy", "mix_key", "mix_source", "mix_id"]
-    docs = docs.drop(*[c for c in own if c in docs.columns])
+    docs = docs.drop(*[c for c in OWN if c in docs.columns])
     columns = docs.columns
     rates = source_rates(docs, source, alpha, weights, budget)
     rows = docs.join(rates, docs[source].eqNullSafe(rates["mix_source"]), "inner").drop("mix_source")

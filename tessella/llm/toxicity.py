@@ -372,7 +372,8 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+    """Whether the CRC-32 of the id as text has the remainder 2 by 4; false for a null id."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limits: FitLimits = FitLimits(), *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -388,13 +389,10 @@ def fit(docs: DataFrame, labels: DataFrame, limits: FitLimits = FitLimits(), *,
     return train([r["text"].encode() for r in rows], [r["label"] for r in rows], limits)
 
 
-SCORED = "score double, predicted int"
-
-
-def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of `docs` with `score` and `predicted`."""
+def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of `docs` with a score and a prediction, named `names`; they replace columns of those names."""
     ship(docs.sparkSession)
-    columns = [c for c in docs.columns if c not in ("score", "predicted")]
+    columns = [c for c in docs.columns if c not in names]
     at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,10 +400,10 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float
             for part in bounded(batch.column(at), 2 << 20):
                 s = model.scores(texts(batch.column(at)[part]))
                 yield pa.RecordBatch.from_arrays(
-                    [*[c[part] for c in batch.columns], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"]
+                    [*[c[part] for c in batch.columns], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*columns, *names]
                 )
 
-    kinds = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns], SCORED])
+    kinds = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns], f"`{names[0]}` double, `{names[1]}` int"])
     return docs.select(*columns).mapInArrow(released(run), kinds)
 
 
