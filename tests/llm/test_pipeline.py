@@ -67,6 +67,9 @@ def test_stages_on_odd_rows(spark, request, kind, tmp_path):
             assert len(words) - near <= rows.count() < len(words) + (kind == "empty")
         if name == "suffix_dedup":
             assert rows.count() == before.count()
+        if i < 4:  # other columns keep their values
+            held = {tuple(r) for r in given.drop("text", "n_chars").collect()}
+            assert {tuple(r) for r in rows.drop("text", "n_chars").collect()} <= held
     assert (rows.count() == 0) == (kind == "empty")
 
 
