@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import mixing, packing, simhash, suffixdedup, toxicity
-from tessella.llm.common import shared_dir
+from tessella.llm.common import shared_dir, spare
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null ids are no labels. An empty table stays empty.
     """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    names = spare("score", docs.columns), spare("predicted", docs.columns)
+    return toxicity.score(docs, model, names=names).where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The number of copies depends on id and text, so rows equal in both have as many copies each. Null ids and texts have theirs like any other. An empty
     table stays empty.
     """
-    return mixing.mix(docs).select(*docs.columns)
+    aside = {c: spare(f"{c}_of_input", [*docs.columns, *mixing.OWN]) for c in docs.columns if c.lower() in mixing.OWN}
+    return mixing.mix(docs.withColumnsRenamed(aside)).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
