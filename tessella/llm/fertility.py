@@ -1,12 +1,13 @@
 """Quality rules from tokeniser fertility.
 
-A public vocabulary with byte fallback reads each word of a text. Characters per token tell how well the text fits
-ordinary language, the share of byte-fallback tokens how much of it the vocabulary doesn't know, and the entropy of
-the token counts how varied it is. Each measure has a band for the row's language, or for the script of its letters where the
-language has none; a text outside a band is rejected, with the reason. Simple counts of words, symbols, repeated lines
+Two public vocabularies read each word of a text: one of pieces with byte fallback, and one of bytes made for many languages.
+Characters per token of each tell how well the text fits ordinary language, the share of the first's byte-fallback tokens how much of
+it that vocabulary doesn't know, and the entropy of its token counts how varied the text is. Each measure has a band for the row's
+language, or for the script of its letters where the language has none; a text outside a band is rejected, with the reason. Simple counts of words, symbols, repeated lines
 and repeated windows of words come first and can reject by themselves.
 
-Words are `[^\\x20\\x09-\\x0D]+`. Each distinct word of a batch is tokenised once, as at the start of a text. Entropy has a
+Words are `[^\\x20\\x09-\\x0D]+`. Each distinct word of a batch is tokenised once, by the first vocabulary as at the start of a text, by
+the second as after a blank. Entropy has a
 floor that grows with the logarithm of the tokens up to the band's, as few tokens cannot have more. A text of no known script
 whose characters are not mostly letters is rejected, too, if its language has no band.
 
@@ -17,6 +18,7 @@ result. Other columns are not read unless named in `keep`.
 
 from __future__ import annotations
 
+import base64
 import unicodedata
 from collections.abc import Iterator
 
@@ -53,6 +55,10 @@ SCRIPT_BANDS = {
     "cjk": (0.75, 3.0, 0.80, 2.5),
     "other": (0.2, 1.1, 1.00, 2.0),
 }
+#: Least characters per token of the second vocabulary: the 0.5 % quantile of the same rows by language, rounded down; of scripts, Latin the
+#: least of these and the others 0.8 of that article's (ru 2.81, el 1.69, ar 1.49, zh 0.89).
+MULTI_LANGUAGES = {"en": 1.67, "de": 1.68, "fr": 1.55, "es": 1.56}
+MULTI_SCRIPTS = {"latin": 1.55, "cyrillic": 2.2, "greek": 1.35, "arabic": 1.15, "cjk": 0.7, "other": 0.2}
 #: First and last code points of the scripts' main blocks.
 SCRIPT_RANGES = {
     "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)),
@@ -79,6 +85,19 @@ def _model(path: str | None):
     return _models[path]
 
 
+def _multi(path: str | None):
+    """The second vocabulary, and what it has read so far."""
+    import public_tokenizers
+    import tiktoken
+
+    path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    if path not in _models:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _models[path] = (tiktoken.Encoding("multi", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), {})
+    return _models[path]
+
+
 def script_of(text: str) -> str:
     """The script with most letters; `other` for none."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -133,9 +152,9 @@ def base_counts(data: bytes, codes: np.ndarray) -> tuple[int, int, int]:
 SCHEMA = [
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
     ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("n_tokens", pa.int64()), ("chars_per_token", pa.float64()), ("byte_share", pa.float64()),
-    ("token_entropy", pa.float64()), ("script", pa.string()), ("reason", pa.string()),
+    ("token_entropy", pa.float64()), ("multi_tokens", pa.int64()), ("multi_chars_per_token", pa.float64()), ("script", pa.string()), ("reason", pa.string()),
 ]
-COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, script string, reason string"
+COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, byte_share double, token_entropy double, multi_tokens long, multi_chars_per_token double, script string, reason string"
 
 
 def verdict(lang: str | None, script: str, tokens: int, chars: int, byte_tokens: int, entropy: float, language_bands: dict, script_bands: dict) -> str | None:
@@ -150,8 +169,14 @@ def verdict(lang: str | None, script: str, tokens: int, chars: int, byte_tokens:
     return None
 
 
-def judge(data: list[bytes], langs: list, model_path: str | None = None, language_bands: dict = LANGUAGE_BANDS, script_bands: dict = SCRIPT_BANDS) -> list[tuple]:
+def multi_verdict(lang: str | None, script: str, tokens: int, chars: int, languages: dict = MULTI_LANGUAGES, scripts: dict = MULTI_SCRIPTS) -> str | None:
+    """The same of the second vocabulary."""
+    return "multi_chars_per_token" if chars < languages.get(lang, scripts.get(script, scripts["other"])) * tokens else None
+
+
+def judge(data: list[bytes], langs: list, model_path: str | None = None, language_bands: dict = LANGUAGE_BANDS, script_bands: dict = SCRIPT_BANDS, multi_path: str | None = None) -> list[tuple]:
     model, is_byte, cache = _model(model_path)
+    multi, multi_cache = _multi(multi_path)
     words = [d.split() for d in data]
     flat = np.empty(sum(map(len, words)), object)
     flat[:] = [w for ws in words for w in ws]
@@ -162,6 +187,10 @@ def judge(data: list[bytes], langs: list, model_path: str | None = None, languag
     if len(cache) + len(pieces) <= _CACHE_WORDS:
         cache.update(pieces)
     lengths = np.array([len(x) for x in ids_of], np.int64)
+    multi_of = [multi_cache[w] if w in multi_cache else len(multi.encode_ordinary(" " + w.decode())) for w in unique]
+    if len(multi_cache) + len(pieces) <= _CACHE_WORDS:
+        multi_cache.update(zip(unique, multi_of))
+    multi_lengths = np.array(multi_of, np.int64)
     chars = np.array([len(w.decode()) for w in unique], np.int64)
     first = np.cumsum(lengths) - lengths
     every = np.array([i for x in ids_of for i in x], np.int64)
@@ -175,7 +204,7 @@ def judge(data: list[bytes], langs: list, model_path: str | None = None, languag
         n = lengths[own]
         total = int(n.sum())
         if total == 0:
-            out.append((len(ws), word_chars, symbols, lines, repeats, failed, False, 0, None, None, None, "other", "base" if failed else "no tokens"))
+            out.append((len(ws), word_chars, symbols, lines, repeats, failed, False, 0, None, None, None, 0, None, "other", "base" if failed else "no tokens"))
             continue
         tokens = every[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(total)]
         counts = np.bincount(tokens)
@@ -183,10 +212,12 @@ def judge(data: list[bytes], langs: list, model_path: str | None = None, languag
         entropy = float(np.log2(total) - (held * np.log2(held)).sum() / total)
         odd = int(counts[is_byte[: len(counts)]].sum())
         script = script_of(d.decode())
+        multi_total = int(multi_lengths[own].sum())
         why = "base" if failed else verdict(lang, script, total, word_chars, odd, entropy, language_bands, script_bands)
+        why = why or multi_verdict(lang, script, multi_total, word_chars)
         if why is None and script == "other" and lang not in language_bands and not lettered(d.decode()):
             why = "letters"
-        out.append((len(ws), word_chars, symbols, lines, repeats, failed, why is None, total, word_chars / total, odd / total, max(0.0, entropy), script, why))
+        out.append((len(ws), word_chars, symbols, lines, repeats, failed, why is None, total, word_chars / total, odd / total, max(0.0, entropy), multi_total, word_chars / multi_total, script, why))
     return out
 
 
@@ -199,6 +230,7 @@ def quality(
     model_path: str | None = None,
     language_bands: dict = LANGUAGE_BANDS,
     script_bands: dict = SCRIPT_BANDS,
+    multi_path: str | None = None,
 ) -> DataFrame:
     """The columns `keep` with each text's counts, measures, `kept` and the `reason` of a rejection. One pass, no shuffle."""
     ship(docs.sparkSession)
@@ -208,7 +240,7 @@ def quality(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bounded(batch.column(0), 4 << 20):
-                judged = judge(texts(batch.column(0)[part]), batch.column(1)[part].to_pylist(), model_path, language_bands, script_bands)
+                judged = judge(texts(batch.column(0)[part]), batch.column(1)[part].to_pylist(), model_path, language_bands, script_bands, multi_path)
                 columns = [pa.array(c, t) for c, (_, t) in zip(zip(*judged), SCHEMA)]
                 kept = [batch.column(2 + i)[part] for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*keep, *[n for n, _ in SCHEMA]])
@@ -218,3 +250,22 @@ def quality(
 
 def op6_fertility(spark, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def base_counts_of_texts(spark, sf_dir: str) -> DataFrame:
+    """What of `op6_fertility` SQL can tell: the counts and the base rules' verdict."""
+    return op6_fertility(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) >= 8),
+wins AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(w[p:p + 7], chr(0))) AS n FROM starts),
+covered AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM wins, range(0, 8) r(k) WHERE n > 1 GROUP BY 1),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+repeated AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(r.n, 0)::BIGINT AS n_dup_lines,
+  coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(c.n, 0) > 30 * len(w) AS base_failed
+FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN repeated r ON r.doc_id = d.doc_id
+"""
