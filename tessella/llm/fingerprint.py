@@ -10,7 +10,8 @@ The entropies of a whole batch of documents are updated together: comparing the
 inside a window counts every byte's equals before and after it, and a running sum of entropy terms follows.
 
 Defined results for odd input: a null text is empty; an empty text has no features, and is like another empty text (1)
-and unlike any other (0); texts under 512 bytes take smaller windows and runs, under 64 bytes every four bytes; ids may repeat or be null (nulls come last); a lone document is its own next one. Other columns are not read.
+and unlike any other (0); texts under 1,024 bytes also or only take smaller windows and runs, under 128 bytes also or only every four
+bytes; ids may repeat or be null (nulls come last); a lone document is its own next one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -56,7 +57,8 @@ class Scale:
 
 LARGE = Scale(64, 64, 16, 0.70, 0.08, 0.35)
 SMALL = Scale(16, 8, 2, 0.82, 0.08, 0.35)
-#: Texts of fewer bytes take the small scale, and below `TINY` all their `TINY_WINDOW`-byte windows are features.
+#: The large scale is for texts from `SHORT` bytes on, the small one from `TINY` to twice `SHORT`, and below twice `TINY` all
+#: `TINY_WINDOW`-byte windows are features: texts of which one has up to twice the other's bytes always share a kind of features.
 SHORT, TINY, TINY_WINDOW = 512, 64, 4
 
 
@@ -132,13 +134,13 @@ def feature_places(docs: list[bytes], scale: Scale = LARGE) -> list[np.ndarray]:
 
 def features(docs: list[bytes]) -> list[list[bytes]]:
     out: list[list[bytes]] = [[] for _ in docs]
-    for scale, low, high in ((LARGE, SHORT, None), (SMALL, TINY, SHORT)):
+    for scale, low, high in ((LARGE, SHORT, None), (SMALL, TINY, 2 * SHORT)):
         chosen = [i for i, d in enumerate(docs) if low <= len(d) and (high is None or len(d) < high)]
         for i, places in zip(chosen, feature_places([docs[i] for i in chosen], scale)):
-            out[i] = [docs[i][p : p + scale.window] for p in places.tolist()]
+            out[i] += [docs[i][p : p + scale.window] for p in places.tolist()]
     for i, d in enumerate(docs):
-        if 0 < len(d) < TINY:
-            out[i] = [d[p : p + TINY_WINDOW] for p in range(max(1, len(d) - TINY_WINDOW + 1))]
+        if 0 < len(d) < 2 * TINY:
+            out[i] += [d[p : p + TINY_WINDOW] for p in range(max(1, len(d) - TINY_WINDOW + 1))]
     return out
 
 
@@ -311,3 +313,15 @@ def _block_heads(rows: DataFrame, bounds: np.ndarray) -> dict[int, int | None]:
 
 def op4_improbable_features(spark, sf_dir: str) -> DataFrame:
     return fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def edited_texts(spark, sf_dir: str) -> DataFrame:
+    """What of `op4_improbable_features` SQL can tell: which text each document was compared with."""
+    return op4_improbable_features(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+e AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS u FROM d WINDOW w AS (ORDER BY doc_id DESC))
+SELECT doc_id, n::BIGINT AS n_chars, sha256(left(t, n - n // 3) || left(u, n // 3)) AS edited_sha256 FROM e
+"""

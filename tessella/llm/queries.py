@@ -15,10 +15,14 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_packing": packing.op9_packing,
     "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
+    "base_counts_of_texts": fertility.base_counts_of_texts,
+    "edited_texts": fingerprint.edited_texts,
 }
 ORACLES = {
     "op5_warc": warc.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op8_license_scan": licenses.ORACLE_SQL,
     "op10_suffix_dedup": suffixdedup.ORACLE_SQL,
+    "base_counts_of_texts": fertility.BASE_SQL,
+    "edited_texts": fingerprint.EDITED_SQL,
 }

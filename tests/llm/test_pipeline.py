@@ -80,7 +80,7 @@ def test_every_copy_is_packed_once(spark, steps):
 
 
 def test_registry_has_one_query_for_each_operator():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES if q.startswith("op")] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 

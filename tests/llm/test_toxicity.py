@@ -77,3 +77,13 @@ def test_learns_only_from_the_rest(spark):
     flipped = labels.withColumn("toxic", (labels.toxic + T.held_out(labels.doc_id).cast("int")) % 2)
     a, b = (T.fit(docs, x, T.FitLimits(rounds=1)).network.p["out"] for x in (labels, flipped))
     assert (a == b).all()
+
+
+def test_held_out_documents_are_told(spark):
+    """Labelled rows that no model has seen, of the largest table that a test can wait for."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = T.op3_toxicity(spark, sf).where("held_out").join(labels, "doc_id").select("toxic", "predicted").toPandas()
+    bad, good = rows[rows.toxic == 1], rows[rows.toxic == 0]
+    assert len(bad) >= 100 and len(good) >= 500
+    assert bad.predicted.mean() >= 0.95 and good.predicted.mean() <= 0.02
