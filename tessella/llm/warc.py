@@ -12,7 +12,7 @@ files.
 
 Defined results for odd input: null html is empty; a null id is written as such and never referred to unless all ids of
 its group are null; rows equal in id and payload to their group's response are responses too; empty tables write nothing;
-other columns are not read.
+other columns are not read. A record of more than 2 GiB when decoded, which no Spark value can hold, ends the read with a `WarcError`.
 """
 
 from __future__ import annotations
