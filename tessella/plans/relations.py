@@ -73,15 +73,15 @@ class Plan:
             parents = self._attach_arc(parents, arc)
         return parents
 
-    def _attach(self, parents: DataFrame, e: _Edge) -> DataFrame:
+    def _children(self, e: _Edge) -> tuple[DataFrame, list[str]]:
+        """Related rows as `item__` with their parent's keys and, where there is an order, their number `rn__` in it."""
         r = self.query.table.relation(e.relation)
         catalog = self.query.catalog
         children = e.plan._rows(e.plan.query.matching().select(*[c.name for c in catalog.table(r.target).columns]))
         row = F.struct(*[F.col(c) for c in children.columns])
         keys = [f"key__{i}" for i in range(len(r.columns))]
         if r.kind == "one":
-            near = children.select(*[F.col(c).alias(k) for c, k in zip(r.target_columns, keys)], row.alias(e.relation))
-            return parents.join(near, [parents[a] == near[k] for a, k in zip(r.columns, keys)], "left")
+            return children.select(*[F.col(c).alias(k) for c, k in zip(r.target_columns, keys)], row.alias("item__")), keys
         if r.link:
             # the link gives each far row its parent; a pair that is linked twice counts once
             here, there = r.link_columns
@@ -99,18 +99,42 @@ class Plan:
             at = lambda name: F.col("item__")[name]
         children = children.dropna(subset=keys)
         target = catalog.table(r.target)
-        order = e.order or tuple(Term(c) for c in target.primary_key or [c.name for c in target.columns if not c.type.array and c.type.spark != "variant"])
+        plain = [c.name for c in target.columns if not c.type.array and c.type.spark != "variant"]
+        order = e.order or tuple(Term(c) for c in target.primary_key or plain)
         sort = [t.column(catalog.order_value(r.target, t.name, at(t.name))) for t in order]
         # numbered rows sort inside their array; a bare collected list has no order
-        ranked = children.withColumn("rn__", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)) if sort else F.lit(1))
-        if e.top is not None:
-            ranked = ranked.where(F.col("rn__") <= e.top)
-        lists = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rn__", "item__"))).alias("items__"))
+        children = children.withColumn("rn__", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)) if sort else F.lit(1))
+        return (children if e.top is None else children.where(F.col("rn__") <= e.top)), keys
+
+    def _attach(self, parents: DataFrame, e: _Edge) -> DataFrame:
+        r = self.query.table.relation(e.relation)
+        children, keys = self._children(e)
+        if r.kind == "one":
+            near = children.withColumnRenamed("item__", e.relation)
+            return parents.join(near, [parents[a] == near[k] for a, k in zip(r.columns, keys)], "left")
+        lists = children.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rn__", "item__"))).alias("items__"))
         lists = lists.withColumnsRenamed({k: f"of__{k}" for k in keys})
         joined = parents.join(lists, [parents[a] == lists[f"of__{k}"] for a, k in zip(r.columns, keys)], "left")
         empty = F.array().cast(lists.schema["items__"].dataType)
         return joined.withColumn(e.relation, F.transform(F.coalesce("items__", empty), lambda x: x["item__"]))
 
+    def flat(self, relation: str) -> DataFrame:
+        """A row for each parent and related row, its struct in a column of the relation's name (null where there is none).
+
+        Nothing is gathered by parent but by `top` or an order of its own, so a parent with very many related rows is no task's burden.
+        """
+        (e,) = [e for e in self.edges if e.relation == relation] or [None]
+        if e is None:
+            raise QueryError(f"the plan loads no {relation}")
+        if e.order and e.top is None:
+            raise QueryError("flat rows have no order inside a parent; order the result, or take so many per parent")
+        r = self.query.table.relation(relation)
+        parents = self.query.df()
+        children, keys = self._children(e)
+        children = children.select(*keys, F.col("item__").alias(relation))
+        on = [parents[a] == children[k] for a, k in zip(r.columns, keys)]
+        return parents.join(children, on, "left").select(*[parents[c] for c in parents.columns], relation)
+
     def _attach_arc(self, parents: DataFrame, arc: Arc) -> DataFrame:
         kind = F.lit(None).cast("string")
         for name, (column, table) in arc.variants.items():

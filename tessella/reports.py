@@ -754,6 +754,12 @@ def plan_arc(c):
     return out.select("o_orderkey", F.col("subject_kind").alias("kind"), F.coalesce("subject_open.c_name", "subject_done.c_name").alias("customer"))
 
 
+@report("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000")
+def plan_flat(c):
+    o = Query(c, "orders")
+    return plan(Query(c, "customer").limit(None)).load("orders", o["o_totalprice"].gt(100000.0)).flat("orders").select("c_custkey", "orders.o_orderkey")
+
+
 @report("SELECT a.n_name AS nation, b.n_name AS neighbour FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 def plan_self_directed(c):
     out = plan(Query(c, "nation").limit(None)).load("neighbours").df()

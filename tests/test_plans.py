@@ -62,6 +62,11 @@ def test_budgets_name_what_is_over(c):
     assert joined.joins == 1 and joined.crosses == 0
 
 
+def test_flat_plans_gather_nothing_by_parent(c):
+    text = plan(reports.plan_flat(c))
+    assert "Window" not in text and "collect_list" not in text
+
+
 def test_turns_keep_no_more_of_a_group_than_the_limit(c):
     q = Query(c, "orders").order(desc("o_totalprice"), desc("o_orderkey")).limit(7)
     assert "WindowGroupLimit" in plan(topn.turns(q, "o_custkey", Query(c, "orders")))
