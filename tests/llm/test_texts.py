@@ -60,6 +60,13 @@ def test_likeness():
     assert fingerprint.likeness(nothing, nothing) == 1 and fingerprint.likeness(nothing, x) == 0
 
 
+def test_texts_on_both_sides_of_a_scale_share_features():
+    for n in (fingerprint.SHORT, 2 * fingerprint.SHORT, fingerprint.TINY, 2 * fingerprint.TINY):
+        long = words(400, n).encode()[: n + n // 4]
+        x, y, other = fingerprint.digest([long, long[: n - n // 8], words(400, n + 1).encode()[: n - n // 8]])
+        assert fingerprint.likeness(x, y) > 0.3 > fingerprint.likeness(x, other)
+
+
 def test_fingerprints_of_odd_rows(messy, empty, spark):
     out = fingerprint.fingerprint_edits(messy).collect()
     assert len(out) == messy.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
