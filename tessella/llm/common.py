@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -63,7 +64,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[id(out)] = weakref.ref(out), path
+    return out
+
+
+_stored: dict[int, tuple] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again: what was made of them has been written itself."""
+    for df in tables:
+        held, path = _stored.pop(id(df), (None, None))
+        if held is not None and held() is df:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spare(name: str, taken: Iterable[str]) -> str:

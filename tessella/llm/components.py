@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star operation on distinct edges (u > v).
+def _stars(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """One star operation on distinct edges (u > v), and the stored table that it reads beside them.
 
     The least neighbours are a table of their own, so that both sides of the join are shuffled and Spark may split a node with very
     many edges. Large: every neighbour above u moves to the least of u and its neighbours. Small: u and its neighbours below it move to
@@ -20,10 +20,10 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
         moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # u's own edge to its least neighbour stays among the edges of that neighbour
-        return moved.where("u <> v").distinct()
+        return moved.where("u <> v").distinct(), least
     least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return moved.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), least
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -41,7 +41,11 @@ def components(edges: DataFrame) -> DataFrame:
     current = materialise(kept, "cc")
     before = _state(current)
     while before[0]:
-        current = materialise(_stars(materialise(_stars(current, True), "cc-large"), False), "cc")
+        large, spent = _stars(current, True)
+        large = materialise(large, "cc-large")
+        small, spent_too = _stars(large, False)
+        last, current = current, materialise(small, "cc")
+        discard(last, large, spent, spent_too)
         after = _state(current)
         if after == before:
             break

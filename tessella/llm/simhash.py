@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded, materialise, released, ship, spare, texts
+from .common import ASCII_LOWER, bounded, discard, materialise, released, ship, spare, texts
 from .components import components
 
 #: Largest bucket that one task compares at once.
@@ -42,6 +42,8 @@ SET_CELL, SET_SHINGLES = 1024, 4 << 20
 BLOCK_WORDS = 8
 #: Buckets up to so many fingerprints share planes, of so many lanes.
 SMALL, LANES = 128, 1 << 14
+#: The walks that a larger bucket begins with.
+WALKS = 8
 _ONES = np.uint64(2**64 - 1)
 _CHUNK = 1 << 15
 
@@ -185,13 +187,13 @@ def packed(lanes: np.ndarray) -> np.ndarray:
     return np.packbits(lanes, bitorder="little").view(np.uint64)
 
 
-def clusters(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Each fingerprint's cluster: the number of its first member in the walk."""
+def clusters(fps: np.ndarray, radius: int, walks: np.ndarray | None = None) -> np.ndarray:
+    """Each fingerprint's cluster: the number of its first member in the walk. With `walks`, only from these; -1 for the rest."""
     planes = Planes(fps)
     n = len(fps)
     live = packed(np.arange(planes.words * 64) < n)
     root = np.full(n, -1, np.int64)
-    for first in range(n):
+    for first in range(n) if walks is None else walks.tolist():
         if root[first] >= 0:
             continue
         root[first] = first
@@ -208,17 +210,18 @@ def clusters(fps: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def singles_first(fps: np.ndarray, radius: int) -> np.ndarray:
-    """`clusters`, after one pass for all lanes at once that finds those without any neighbour."""
-    n = len(fps)
-    if n < 3:
-        return clusters(fps, radius)
-    planes = Planes(fps)
-    rest = np.flatnonzero(np.concatenate([planes.accompanied(np.arange(lo, min(n, lo + 256)), radius) for lo in range(0, n, 256)]))
-    out = np.arange(n)
+def large_first(fps: np.ndarray, radius: int) -> np.ndarray:
+    """`clusters`, in an order that suits large buckets: some walks, which clear a bucket of near copies; then one pass for all lanes
+    left at once that finds those without any neighbour; then walks for what is left."""
+    root = clusters(fps, radius, np.unique(np.linspace(0, len(fps) - 1, WALKS).astype(np.int64)))
+    rest = np.flatnonzero(root < 0)
     if len(rest):
-        out[rest] = rest[clusters(fps[rest], radius)]
-    return out
+        planes = Planes(fps[rest])
+        beside = rest[np.concatenate([planes.accompanied(np.arange(lo, min(len(rest), lo + 256)), radius) for lo in range(0, len(rest), 256)])]
+        root[rest] = rest
+        if len(beside):
+            root[beside] = beside[clusters(fps[beside], radius)]
+    return root
 
 
 def side_by_side(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
@@ -312,7 +315,7 @@ def _linked(radius: int):
                 at = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in chosen])
                 root[at] = at[side_by_side(fps[at], sizes[chosen], radius)]
             for i in np.flatnonzero(sizes > SMALL):
-                root[starts[i] : starts[i + 1]] = starts[i] + singles_first(fps[starts[i] : starts[i + 1]], radius)
+                root[starts[i] : starts[i + 1]] = starts[i] + large_first(fps[starts[i] : starts[i + 1]], radius)
             moved = np.flatnonzero(root != np.arange(len(root)))
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array([flat[i] for i in moved], pa.binary()), pa.array([flat[root[i]] for i in moved], pa.binary())], names=["a", "b"])
@@ -369,21 +372,13 @@ def set_clusters(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return root
 
 
-def _sets(shingle: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in bounded(batch.column(1)):
-                found = [np.unique(shingle_hashes(d, shingle, seed)).tobytes() for d in texts(batch.column(1)[part])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(found, pa.binary())], names=["node", "hashes"])
-
-    return run
-
-
-def _verified(similarity: float):
+def _verified(similarity: float, shingle: int, seed: int):
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("node")
+        rows = rows.sort_by("node").combine_chunks()
         nodes = rows.column("node").to_pylist()
-        root = set_clusters([np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()], similarity)
+        column = rows.column("text").chunk(0) if len(rows) else pa.array([], pa.string())
+        sets = [np.unique(shingle_hashes(d, shingle, seed)) for part in bounded(column) for d in texts(column[part])]
+        root = set_clusters(sets, similarity)
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": pa.array([nodes[i] for i in moved], pa.binary()), "b": pa.array([nodes[root[i]] for i in moved], pa.binary())})
 
@@ -391,21 +386,24 @@ def _verified(similarity: float):
 
 
 def verified_links(docs: DataFrame, fps: DataFrame, loose: DataFrame, *, text: str, shingle: int, seed: int, similarity: float, cell: int) -> DataFrame:
-    """Edges `(a, b)` of nodes that join all whose sets are so similar inside a loose group `(node, root)` of fingerprints."""
-    nodes = materialise(fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min("mark").alias("mark"), F.min("size").alias("size")), "simhash-nodes")
+    """Edges `(a, b)` of nodes that join all whose sets are so similar inside a loose group `(node, root)` of fingerprints.
+
+    Texts travel, not their sets: these take more bytes and hardly compress. One text a mark is left by each task that reads them.
+    """
+    nodes = fps.groupBy("node").agg(F.first("fp").alias("fp"), F.min("mark").alias("mark"), F.min("size").alias("size"))
     rooted = nodes.join(loose.withColumnsRenamed({"node": "fp"}), "fp", "left").select("node", "mark", "size", F.coalesce("root", "fp").alias("root"))
+    rooted = materialise(rooted, "simhash-rooted")
     sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("n > 1")
     # a group of more than a cell is parted, and the rows of a part go to its meetings with every part
     few = (F.col("n") <= cell) & (F.col("total") <= SET_SHINGLES)
     parts = F.when(few, 1).otherwise(F.greatest(F.ceil(F.col("n") * 2 / cell), F.ceil(F.col("total") * 2 / SET_SHINGLES))).cast("int")
-    met = materialise(rooted.join(sizes.select("root", parts.alias("parts")), "root"), "simhash-met")
-    bodies = docs.select(text_mark(text).alias("mark"), F.col(text).alias("text")).join(met.select("mark", "node"), "mark")
-    hashes = bodies.select("node", "text").mapInArrow(released(_sets(shingle, seed)), "node binary, hashes binary")
-    sets = materialise(hashes.groupBy("node").agg(F.first("hashes").alias("hashes")), "simhash-sets")
+    met = rooted.join(materialise(sizes.select("root", parts.alias("parts")), "simhash-sizes"), "root")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    cells = met.withColumn("own", own).select("node", "root", F.explode(meets).alias("c")).join(sets, "node")
-    return cells.select("root", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "node", "hashes").groupBy("root", "i", "j").applyInArrow(_verified(similarity), "a binary, b binary").distinct()
+    cells = met.withColumn("own", own).select("root", "node", "mark", meets.alias("meets"))
+    bodies = docs.select(text_mark(text).alias("mark"), F.col(text).alias("text")).groupBy("mark").agg(F.first("text").alias("text"))
+    held = bodies.join(materialise(cells, "simhash-cells"), "mark").select("root", "node", "text", F.explode("meets").alias("c"))
+    return held.select("root", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "node", "text").groupBy("root", "i", "j").applyInArrow(_verified(similarity, shingle, seed), "a binary, b binary").distinct()
 
 
 def near_groups(
@@ -425,7 +423,7 @@ def near_groups(
     """`(doc_id, mark, fp, root, component_id)`: each row's text mark and fingerprint, its group, and the smallest id in it.
 
     With `radius` alone the result is exact. With `similarity` (a Jaccard similarity of shingle sets) rows are linked by that similarity
-    itself. Which are compared is found at a radius of the number of bits at which texts so similar differ, plus three standard
+    itself. Which are compared is found at a radius of the number of bits at which texts so similar differ, plus two standard
     deviations, in buckets sampled for `recall` at that similarity (more so above it); take 256 bits or more then. `key_bits` and so the
     samples don't depend on the table: a bucket has about one distinct fingerprint in 2^`key_bits`, so take more bits for more than 10^8
     documents. The recall stays, the number of samples grows.
@@ -437,10 +435,11 @@ def near_groups(
         roots = components(links(firsts, block_masks(bits, radius), radius, cell))
     else:
         rate = bit_rate(similarity)
-        radius = round(bits * rate + 3 * math.sqrt(bits * rate * (1 - rate)))
+        radius = round(bits * rate + 2 * math.sqrt(bits * rate * (1 - rate)))
         masks = sampled_masks(bits, rate, key_bits, recall, seed)
         loose = materialise(components(links(firsts, masks, radius, cell)), "simhash-loose")
         roots = components(verified_links(docs, fps, loose, text=text, shingle=shingle, seed=seed, similarity=similarity, cell=min(cell, SET_CELL)))
+        discard(loose)
         node, firsts = "node", materialise(fps.groupBy("node").agg(F.min("doc_id").alias("first_id")), "simhash-firsts")
     linked = firsts.join(roots.withColumnsRenamed({"node": node}), node)
     reach = linked.groupBy("root").agg(F.min("first_id").alias("reach_id"))

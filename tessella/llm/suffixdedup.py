@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise, release, released, ship, spare, texts
+from .common import bounded, discard, materialise, release, released, ship, spare, texts
 from .suffixarray import permuted_lcp, suffix_array
 
 GRAM = 96
@@ -332,6 +332,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str, text: str, length: int, gram
     every = materialise(found, "anchors")
     often = materialise(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors-often")
     again = materialise(every.join(_small(often), "h", "left_semi"), "anchors-again")
+    discard(every, often)
     one = F.min(F.struct("doc", "t", "pos")).alias("one")
     kinds = materialise(again.groupBy("h", "sh").agg(F.count(F.lit(1)).alias("n"), one), "snippet-kinds")
     whole = again.join(_small(kinds.where("n > 1").select("h", "sh")), ["h", "sh"], "left_semi")
