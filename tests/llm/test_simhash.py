@@ -57,14 +57,17 @@ def test_keep_one_leaves_a_row_of_each_group(messy):
     assert kept.count() == groups.select("root").distinct().count()
 
 
-@pytest.mark.parametrize("n, width, radius", [(1, 8, 2), (2, 8, 2), (700, 8, 2), (300, 32, 44)])
+@pytest.mark.parametrize("n, width, radius", [(1, 8, 2), (2, 8, 2), (700, 8, 2), (300, 32, 44), (301, 32, 50)])
 def test_bit_slices(n, width, radius):
     rng = np.random.default_rng(n)
     x = rng.integers(0, 256, (n, width), dtype=np.uint8)
     for i in range(n // 2):  # chains of near fingerprints
         x[i] = x[max(0, i - 1)]
         x[i, i % width] ^= 1
-    root = S.singles_first(x, radius)
+    root = S.large_first(x, radius)
+    sizes = np.sort(np.random.default_rng(1).multinomial(n, [0.4, 0.3, 0.2, 0.1]))[::-1]
+    sizes = sizes[sizes > 0]
+    apart = S.side_by_side(x, sizes, radius)
     words = x.view(np.uint64)
     near = np.bitwise_count(words[:, None] ^ words[None]).sum(2) <= radius
     label = np.arange(n)
@@ -73,7 +76,17 @@ def test_bit_slices(n, width, radius):
         if (new == label).all():
             break
         label = new
-    assert (root == label).all()
+    names = {}
+    assert [names.setdefault(r, i) for i, r in enumerate(root.tolist())] == label.tolist()
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    near &= bucket[:, None] == bucket[None]
+    own = np.arange(n)
+    for _ in range(n):
+        new = np.where(near, own[None], n).min(1)
+        if (new == own).all():
+            break
+        own = new
+    assert (apart == own).all()
 
 
 def test_hot_buckets_are_split_without_losing_a_link(spark):
