@@ -106,21 +106,22 @@ def openings(words: list[str]) -> list[str]:
 def markers(templates: dict[str, list[str]], threshold: float) -> list[str]:
     """Strings of which a text has to contain one to match any template.
 
-    A match has at least `threshold / (2 - threshold)` of a template's bigrams. So of each template, words are taken, those taken already and
-    then the longest first, until they touch more bigrams than may be missing.
+    A match has at least `threshold / (2 - threshold)` of a template's bigrams. So words are taken until they touch more bigrams of each template
+    than may be missing: always the word that brings all templates nearest to that, words of five letters or more first.
     """
+    grams = [list(dict.fromkeys(g)) for _, g in template_rows(templates)]
+    need = [int(len(g) * (2 - 2 * threshold) / (2 - threshold)) + 1 for g in grams]
+    left = [set(g) for g in grams]
+    vocabulary = sorted({w for g in grams for x in g for w in x.split(" ")}, key=lambda w: (len(w) < 5, -len(w), w))
+    touched = {w: [{x for x in g if any(w in y for y in x.split(" "))} for g in grams] for w in vocabulary}
     taken: list[str] = []
-    for _, grams in template_rows(templates):
-        missing = len(grams) * (2 - 2 * threshold) / (2 - threshold)
-        words = sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (-len(w), w))
-        touched = {g for g in grams if any(m in g.split(" ") or any(m in w for w in g.split(" ")) for m in taken)}
-        for w in words:
-            if len(touched) > missing:
-                break
-            new = {g for g in grams if w in g.split(" ")} - touched
-            if new:
-                touched |= new
-                taken.append(w)
+    while any(n > 0 for n in need):
+        usable = [w for w in vocabulary if len(w) >= 5 and any(n > 0 and touched[w][i] & left[i] for i, n in enumerate(need))] or vocabulary
+        best = max(usable, key=lambda w: sum(min(n, len(touched[w][i] & left[i])) for i, n in enumerate(need) if n > 0))
+        taken.append(best)
+        for i in range(len(grams)):
+            need[i] -= len(touched[best][i] & left[i])
+            left[i] -= touched[best][i]
     return [m for m in taken if not any(o != m and o in m for o in taken)]
 
 
@@ -165,8 +166,9 @@ def scan(
     )
     signs = markers(templates, threshold)
 
+    # a variable holds what is used more than once: a column named several times would be computed as often
     def marked(x: Column) -> Column:
-        return reduce(lambda a, b: a | b, [F.contains(x, F.lit(m)) for m in signs])
+        return F.exists(F.array(F.lower(x)), lambda low_: reduce(lambda a, b: a | b, [F.contains(low_, F.lit(m)) for m in signs]))
 
     def scored(grams: Column, t: Column) -> Column:
         return F.struct((F.size(F.array_intersect(grams, t["g"])) * 2.0 / (F.size(grams) + t["n"])).alias("d"), (-t["i"]).alias("o"))
@@ -177,7 +179,7 @@ def scan(
 
     # lines and the whole text: words of a unit bound its bigrams (n - 1 pairs, or one for a single word; repeats only lower the count)
     def of_units(body: Column) -> Column:
-        lines = F.transform(F.filter(F.split(body, "\n"), lambda u: marked(F.lower(u))), _normal)
+        lines = F.transform(F.filter(F.split(body, "\n"), marked), _normal)
         whole = F.when(F.contains(body, F.lit("\n")), F.array(_normal(body))).otherwise(F.array().cast("array<string>"))
         words = F.transform(F.filter(F.concat(lines, whole), lambda u: u != ""), lambda u: F.split(u, " "))
         sized = F.filter(words, lambda w: F.greatest(F.size(w) - 1, F.lit(1)) >= least)
@@ -189,7 +191,6 @@ def scan(
         at = F.transform(t["open"], lambda o, k: F.transform(F.filter(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)) == o), lambda i: i - k))
         return F.filter(F.array_distinct(F.flatten(at)), lambda i: i >= 1)
 
-    # a variable holds what is used more than once: a column named several times would be computed as often
     def of_runs(body: Column) -> Column:
         def found(text: Column) -> Column:
             here = F.filter(table, lambda t: F.exists(t["open"], lambda o: F.contains(text, F.concat(F.lit(" "), o, F.lit(" ")))))
@@ -203,16 +204,16 @@ def scan(
     none = F.array().cast("array<struct<d:double,o:int>>")
     names = F.array(*[F.lit(name) for name, _ in rows])
     kept = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("license", "dice", "n_matches", "n_runs")]
-    units_at, runs_at = spare("lic_units", docs.columns), spare("lic_runs", docs.columns)
-    hit = marked(F.lower(body))
-    out = docs.select(*kept, F.when(hit, of_units(body)).otherwise(none).alias(units_at), F.when(hit, of_runs(body)).otherwise(none).alias(runs_at))
-    top = F.array_max(F.concat(units_at, runs_at))
+    at = spare("lic_found", docs.columns)
+    out = docs.select(*kept, F.when(marked(body), F.struct(of_units(body).alias("units"), of_runs(body).alias("runs"))).alias(at))
+    units, runs = (F.coalesce(F.col(at)[c], none) for c in ("units", "runs"))
+    top = F.array_max(F.concat(units, runs))
     return out.select(
         *kept,
         F.when(top.isNotNull(), F.element_at(names, 1 - top["o"])).alias("license"),
         F.coalesce(top["d"], F.lit(0.0)).alias("dice"),
-        F.size(units_at).cast("long").alias("n_matches"),
-        F.size(runs_at).cast("long").alias("n_runs"),
+        F.size(units).cast("long").alias("n_matches"),
+        F.size(runs).cast("long").alias("n_runs"),
     )
 
 
