@@ -9,6 +9,10 @@ from ..errors import DeclarationError, QueryError
 from ..model import Catalog, Relation
 from ..sources.tables import checkpointed
 
+#: A level is broadcast up to so many rows; a larger one and the table are shuffled.
+BROADCAST_ROWS = 20_000
+
+
 def self_relation(catalog: Catalog, table: str) -> Relation:
     """The one relation to one that refers to the table itself."""
     found = [r for r in catalog.table(table).relations if r.kind == "one" and r.target == table and not r.link]
@@ -31,8 +35,13 @@ def _walk(catalog: Catalog, table: str, roots: list, max_depth: int, down: bool)
     out = level
     steps = rows.select(*[F.col(c).alias(f"next__{c}") for c in columns])
     for depth in range(2, max_depth + 1):
+        # Spark takes a checkpoint for as large as its plan might have been, and would broadcast the table in its place
+        if level.count() <= BROADCAST_ROWS:
+            level, table_ = F.broadcast(level), steps
+        else:
+            table_ = steps.hint("merge")
         on = steps[f"next__{parent}"] == level[key] if down else steps[f"next__{key}"] == level[parent]
-        level = level.join(steps, on).where(~F.array_contains("path", F.col(f"next__{key}")))
+        level = level.join(table_, on).where(~F.array_contains("path", F.col(f"next__{key}")))
         level = level.select(
             *[F.col(f"next__{c}").alias(c) for c in columns], F.lit(depth).alias("depth"), F.array_append("path", F.col(f"next__{key}")).alias("path")
         )

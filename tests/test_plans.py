@@ -78,6 +78,30 @@ def test_descents_end_with_the_tree(c):
     assert recursion.descend(c, "part", [1], 100_000).agg({"depth": "max"}).first()[0] < 20
 
 
+
+def test_a_traversal_never_broadcasts_its_table(c, monkeypatch):
+    from tessella.operators import recursion
+
+    plans, keep = [], recursion.checkpointed
+    monkeypatch.setattr(recursion, "checkpointed", lambda df: plans.append(plan(df)) or keep(df))
+    for walk, roots in ((recursion.ascend, [150, 77]), (recursion.descend, [0, 5])):
+        found = []
+        for most in (20_000, 1, 0):
+            plans.clear()
+            monkeypatch.setattr(recursion, "BROADCAST_ROWS", most, raising=False)
+            found.append(sorted(map(tuple, walk(c, "part", roots, 6).select("p_partkey", "depth", "path").collect())))
+            assert len(plans) > 3
+            for text in plans:
+                lines = text.splitlines()
+                for i, line in enumerate(lines):
+                    if "BroadcastExchange" in line:  # what is below it in the tree is what is sent
+                        deep = line.index("BroadcastExchange")
+                        below = next((j for j in range(i + 1, len(lines)) if len(lines[j]) - len(lines[j].lstrip(" :+-")) <= deep), len(lines))
+                        assert not any("FileScan" in x for x in lines[i:below])
+            assert any("SortMergeJoin" in x for x in plans) == (most < 20_000)
+        assert found[0] == found[1] == found[2]
+
+
 def test_no_query_crosses_or_runs_python(spark):
     python = {"shard_jump", "shard_hash_modulo", "json_contained_by", "agg_own_function", "table_own_function", "introspection", "schema_drift"}
     for name, fn in reports.QUERIES.items():
