@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -11,12 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_NAME = re.compile(r"[A-Za-z_]\w*")
+
+
 def parsed(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
 def _step(key: str) -> str:
-    if re.fullmatch(r"[A-Za-z_]\w*", key):
+    if _NAME.fullmatch(key):
         return f".{key}"
     quoted = key.replace("\\", "\\\\").replace('"', '\\"')
     return f'["{quoted}"]'
@@ -34,15 +37,19 @@ def _is_object(v: Column) -> Column:
     return _kind(v).startswith("OBJECT<")
 
 
-def _scalar(v: Column, value: Any) -> Column:
+def _scalar(v: Column, value: Any, path: str = "$") -> Column:
+    """What is at the path is the value. Few documents have it, so the value is looked at before its kind."""
+    kind = _kind(F.try_variant_get(v, path, "variant") if path != "$" else v)
     if value is None:
-        return _kind(v) == "VOID"
-    if isinstance(value, bool):
-        return (_kind(v) == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == F.lit(value))
-    if isinstance(value, (int, float)):
-        number = _kind(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-        return number & (F.try_variant_get(v, "$", "double") == F.lit(float(value)))
-    return (_kind(v) == "STRING") & (F.try_variant_get(v, "$", "string") == F.lit(value))
+        return kind == "VOID"
+    as_type, value, kinds = (
+        ("boolean", value, kind == "BOOLEAN")
+        if isinstance(value, bool)
+        else ("double", float(value), kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
+        if isinstance(value, (int, float))
+        else ("string", value, kind == "STRING")
+    )
+    return F.coalesce(F.try_variant_get(v, path, as_type) == F.lit(value), F.lit(False)) & kinds
 
 
 def _held(value: Any):
@@ -51,11 +58,15 @@ def _held(value: Any):
 
 def _holds(v: Column, value: Any, top: bool) -> Column:
     if isinstance(value, dict):
-        out = _is_object(v)
+        out = F.lit(True)
         for k, x in value.items():
-            inner = F.try_variant_get(v, "$" + _step(k), "variant")
-            out = out & inner.isNotNull() & _holds(inner, x, False)
-        return out
+            at = "$" + _step(k)
+            if isinstance(x, (dict, list)):
+                inner = F.try_variant_get(v, at, "variant")
+                out = out & inner.isNotNull() & _holds(inner, x, False)
+            else:
+                out = out & _scalar(v, x, at)
+        return out & _is_object(v)
     items = F.try_variant_get(v, "$", "array<variant>")
     if isinstance(value, list):
         out = _is_array(v)
@@ -67,10 +78,19 @@ def _holds(v: Column, value: Any, top: bool) -> Column:
     return _scalar(v, value)
 
 
+def sharing(text: Column, test: Callable[[Column], Column]) -> Column:
+    """A test of the parsed document, which is parsed once however often the test names it: Spark would parse it at each."""
+    return F.element_at(F.transform(F.array(parsed(text)), test), 1)
+
+
+def doc_contains(text: Column, doc: Column, value: Any) -> Column:
+    """`contains` of a document that is parsed already."""
+    return F.when(text.isNotNull(), F.coalesce(_holds(doc, value, True), F.lit(False)))
+
+
 def contains(text: Column, value: Any) -> Column:
     """The document holds the value: its keys with values that hold theirs, its elements each somewhere, its scalars exactly."""
-    doc = parsed(text)
-    return F.when(text.isNotNull(), F.coalesce(_holds(doc, value, True), F.lit(False)))
+    return sharing(text, lambda doc: doc_contains(text, doc, value))
 
 
 def contained_by(text: Column, value: Any) -> Column:
@@ -107,9 +127,8 @@ def contained_by(text: Column, value: Any) -> Column:
     return within(text)
 
 
-def _top_strings(text: Column) -> Column:
+def _top_strings(text: Column, doc: Column) -> Column:
     """Keys of an object, string elements of an array, a string itself."""
-    doc = parsed(text)
     items = F.transform(
         F.filter(F.try_variant_get(doc, "$", "array<variant>"), lambda e: _kind(e) == "STRING"), lambda e: F.try_variant_get(e, "$", "string")
     )
@@ -122,14 +141,26 @@ def _top_strings(text: Column) -> Column:
     )
 
 
+def doc_has_any_key(text: Column, doc: Column, keys: list[str]) -> Column:
+    wanted = F.array(*map(F.lit, keys)).cast("array<string>")
+    out = F.coalesce(F.arrays_overlap(_top_strings(text, doc), wanted), F.lit(False))
+    for k in reversed(keys):  # a key that a path can name is found without a list of all keys
+        if _NAME.fullmatch(k):
+            out = F.try_variant_get(doc, "$" + _step(k), "variant").isNotNull() | out
+    return F.when(text.isNotNull(), out)
+
+
 def has_any_key(text: Column, keys: list[str]) -> Column:
+    return sharing(text, lambda doc: doc_has_any_key(text, doc, keys))
+
+
+def doc_has_all_keys(text: Column, doc: Column, keys: list[str]) -> Column:
     wanted = F.array(*map(F.lit, keys)).cast("array<string>")
-    return F.when(text.isNotNull(), F.coalesce(F.arrays_overlap(_top_strings(text), wanted), F.lit(False)))
+    return F.when(text.isNotNull(), F.size(F.array_except(wanted, _top_strings(text, doc))) == 0)
 
 
 def has_all_keys(text: Column, keys: list[str]) -> Column:
-    wanted = F.array(*map(F.lit, keys)).cast("array<string>")
-    return F.when(text.isNotNull(), F.size(F.array_except(wanted, _top_strings(text))) == 0)
+    return sharing(text, lambda doc: doc_has_all_keys(text, doc, keys))
 
 
 def text_like_any(text: Column, patterns: list[str]) -> Column:
@@ -151,5 +182,5 @@ def field(v: Column, key: str) -> Column:
 
 def elements(text: Column) -> Column:
     """The elements of a document that is an array; nothing for objects, scalars, nulls and text that is not JSON."""
-    doc = parsed(text)
-    return F.coalesce(F.when(_is_array(doc), F.try_variant_get(doc, "$", "array<variant>")), F.array().cast("array<variant>"))
+    found = sharing(text, lambda doc: F.when(_is_array(doc), F.try_variant_get(doc, "$", "array<variant>")))
+    return F.coalesce(found, F.array().cast("array<variant>"))

@@ -138,8 +138,8 @@ class Query:
     def matching(self) -> DataFrame:
         """The rows that the predicates keep, without order and paging."""
         df = self.catalog.read(self.name, self.deleted)
-        for p in self.preds:
-            df = df.where(p.to_column(F.col))
+        if self.preds:
+            df = df.where(P.And(*self.preds).to_column(F.col))
         for narrow in self.filters:
             df = narrow(df)
         return df

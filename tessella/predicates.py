@@ -11,7 +11,7 @@ import decimal
 import uuid as uuid_
 from collections.abc import Callable
 from functools import reduce
-from typing import Any
+from typing import Any as AnyValue
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,7 +50,7 @@ _PYTHON = {
 Resolve = Callable[[str], Column]
 
 
-def value_of(t: Type, value: Any, where: str) -> Column:
+def value_of(t: Type, value: AnyValue, where: str) -> Column:
     """A literal of the column's type; a wrong kind of value is an error and not a cast."""
     element = Type(t.base, t.precision, t.scale)
     kinds = _PYTHON[t.base]
@@ -73,6 +73,14 @@ class Pred:
     def to_column(self, at: Resolve) -> Column:
         raise NotImplementedError
 
+    def document(self) -> str | None:
+        """The column of JSON documents that the whole predicate tests by their parsed form, if there is one."""
+        return None
+
+    def on_document(self, text: Column, doc: Column) -> Column:
+        """The predicate of a document's text and its parsed form."""
+        raise NotImplementedError
+
     def __bool__(self):
         raise QueryError("a predicate has no truth value in Python; compose with And, Any and Not")
 
@@ -85,22 +93,66 @@ class Leaf(Pred):
         return self.build(at(self.name))
 
 
-class And(Pred):
-    def __init__(self, *preds: Pred):
-        self.preds = checked(preds)
+class DocumentLeaf(Pred):
+    """A test of a parsed JSON document."""
+
+    def __init__(self, name: str, build: Callable[[Column, Column], Column]):
+        self.name, self.build = name, build
 
     def to_column(self, at: Resolve) -> Column:
-        return reduce(lambda a, b: a & b, [p.to_column(at) for p in self.preds], F.lit(True)) if self.preds else F.lit(True)
+        return json_docs.sharing(at(self.name), lambda doc: self.build(at(self.name), doc))
 
+    def document(self) -> str | None:
+        return self.name
+
+    def on_document(self, text: Column, doc: Column) -> Column:
+        return self.build(text, doc)
 
-class Any(Pred):
-    """At least one. Of nothing, it is no predicate."""
+
+class _Several(Pred):
+    """Predicates under one connective. Those on the same JSON documents share their parsed form."""
 
     def __init__(self, *preds: Pred):
         self.preds = checked(preds)
 
+    @staticmethod
+    def joined(a: Column, b: Column) -> Column:
+        raise NotImplementedError
+
     def to_column(self, at: Resolve) -> Column:
-        return reduce(lambda a, b: a | b, [p.to_column(at) for p in self.preds]) if self.preds else F.lit(True)
+        if not self.preds:
+            return F.lit(True)
+        alike: dict[AnyValue, list[Pred]] = {}
+        for i, p in enumerate(self.preds):
+            alike.setdefault(p.document() or i, []).append(p)
+        parts = []
+        for name, preds in alike.items():
+            parts.append(preds[0].to_column(at) if len(preds) == 1 else self._sharing(at(name), preds))
+        return reduce(self.joined, parts)
+
+    def _sharing(self, text: Column, preds: list[Pred]) -> Column:
+        return json_docs.sharing(text, lambda doc: reduce(self.joined, [p.on_document(text, doc) for p in preds]))
+
+    def document(self) -> str | None:
+        names = {p.document() for p in self.preds}
+        return names.pop() if len(names) == 1 else None
+
+    def on_document(self, text: Column, doc: Column) -> Column:
+        return reduce(self.joined, [p.on_document(text, doc) for p in self.preds])
+
+
+class And(_Several):
+    @staticmethod
+    def joined(a: Column, b: Column) -> Column:
+        return a & b
+
+
+class Any(_Several):
+    """At least one. Of nothing, it is no predicate."""
+
+    @staticmethod
+    def joined(a: Column, b: Column) -> Column:
+        return a | b
 
 
 class AnyOf(Any):
@@ -117,6 +169,12 @@ class Not(Pred):
     def to_column(self, at: Resolve) -> Column:
         return ~self.pred.to_column(at)
 
+    def document(self) -> str | None:
+        return self.pred.document()
+
+    def on_document(self, text: Column, doc: Column) -> Column:
+        return ~self.pred.on_document(text, doc)
+
 
 def NotAny(*preds: Pred) -> Pred:
     return Not(Any(*preds)) if preds else And()
@@ -148,6 +206,10 @@ class Handle:
             raise QueryError(f"{self.table.name}.{self.name} is never null")
         return Leaf(self.name, build)
 
+    def _document(self, op: str, build: Callable[[Column, Column], Column]) -> Pred:
+        self._leaf(op, F.isnotnull)  # the operator has to apply
+        return DocumentLeaf(self.name, build)
+
     def _value(self, op: str, value) -> Column:
         if not APPLIES[op](self.column.type):
             raise QueryError(f"{op} doesn't apply to {self.table.name}.{self.name}, a {self.column.type}")
@@ -256,16 +318,16 @@ class Handle:
         return self._array("array_overlaps", values, arrays.overlaps)
 
     def json_contains(self, value) -> Pred:
-        return self._leaf("json_contains", lambda c: json_docs.contains(c, value))
+        return self._document("json_contains", lambda text, doc: json_docs.doc_contains(text, doc, value))
 
     def json_contained_by(self, value) -> Pred:
         return self._leaf("json_contained_by", lambda c: json_docs.contained_by(c, value))
 
     def has_any_key(self, keys: list[str]) -> Pred:
-        return self._leaf("has_any_key", lambda c: json_docs.has_any_key(c, keys))
+        return self._document("has_any_key", lambda text, doc: json_docs.doc_has_any_key(text, doc, keys))
 
     def has_all_keys(self, keys: list[str]) -> Pred:
-        return self._leaf("has_all_keys", lambda c: json_docs.has_all_keys(c, keys))
+        return self._document("has_all_keys", lambda text, doc: json_docs.doc_has_all_keys(text, doc, keys))
 
     def text_like_any(self, patterns: list[str]) -> Pred:
         return self._leaf("text_like_any", lambda c: json_docs.text_like_any(c, patterns))

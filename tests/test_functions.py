@@ -127,3 +127,25 @@ def test_exact_averages_of_money(spark):
     arg = T.Typed(F.col("m"), Type("numeric", 12, 2), False)
     got = rows.agg(T.aggregate("sum", arg, None).column.alias("s"), T.aggregate("avg", arg, None).column.alias("a")).first()
     assert got.s == Decimal("0.30") and got.a == Decimal("0.100000")
+
+
+def test_predicates_of_a_document_agree_with_each_by_itself(spark):
+    from tessella.model import Column, Table
+    from tessella.predicates import And, Any, Handle, Not
+
+    docs = ['{"k": 1}', '{"k": "1"}', '{"k": null}', '{"zz": 2}', '{"k": 1, "k": 2}', '["k", 1]', '"k"', "1", "null", "broken", "", "{}", None]
+    rows = spark.createDataFrame(list(enumerate(docs)), "i int, d string")
+    h = Handle(Table("x", (Column("i", "int4"), Column("d", "jsonb", True)), ("i",)), "d")
+    leaves = [h.json_contains({"k": 1}), h.json_contains({}), h.json_contains(1), h.has_any_key(["k", "a b"]), h.has_all_keys(["zz"])]
+    alone = [x.to_column(F.col) for x in leaves]
+    pairs = [
+        (And(*leaves[:2]), alone[0] & alone[1]),
+        (Any(*leaves), alone[0] | alone[1] | alone[2] | alone[3] | alone[4]),
+        (Not(And(leaves[1], Any(leaves[3], leaves[4]))), ~(alone[1] & (alone[3] | alone[4]))),
+        (And(), F.lit(True)),
+    ]
+    for r in rows.select(*[x for a, b in pairs for x in (a.to_column(F.col), b)]).collect():
+        assert tuple(r)[::2] == tuple(r)[1::2]
+    got = rows.orderBy("i").select(*alone[:1], alone[3]).collect()
+    assert [r[0] for r in got] == [True, *[False] * 11, None]
+    assert [r[1] for r in got] == [True, True, True, False, False, True, True, *[False] * 5, None]

@@ -79,6 +79,18 @@ def test_descents_end_with_the_tree(c):
 
 
 
+
+def test_tests_of_a_document_parse_it_once(c, spark):
+    def parses(df):
+        return [x.count("parseJson") for x in plan(df).splitlines() if "Filter " in x and "FileScan" not in x]
+
+    for name in ("json_any_key", "json_contains", "json_all_keys", "json_array_contains"):
+        assert parses(reports.QUERIES[name](spark, SF)) == [1], name
+    q = Query(c, "events")
+    apart = q.where(q["props"].json_contains({"k": 1})).not_(q["props"].has_any_key(["zz"])).where(q["items"].json_contains([1]))
+    assert parses(apart.limit(None).df()) == [2]  # two documents
+
+
 def test_a_traversal_never_broadcasts_its_table(c, monkeypatch):
     from tessella.operators import recursion
 
